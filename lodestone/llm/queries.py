@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_dedup, quality
+from . import byte_bpe, decontaminate, license_scan, line_dedup, near_dedup, quality, sharding, url_filter, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,5 +31,45 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op7_benchmark_decontamination, op8_byte_bpe, op9_minhash_near_dedup)}
-SQL: dict[str, str] = {}
+def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "shard")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_extendible_sharding,
+        op2_quality_rules,
+        op4_license_scan,
+        op5_url_filter,
+        op6_line_dedup,
+        op7_benchmark_decontamination,
+        op8_byte_bpe,
+        op9_minhash_near_dedup,
+        op10_warc,
+    )
+}
+SQL: dict[str, str] = {
+    "op1_extendible_sharding": sharding.SQL,
+    "op4_license_scan": license_scan.sql(),
+    "op5_url_filter": url_filter.SQL,
+    "op6_line_dedup": line_dedup.SQL,
+    "op10_warc": warc.SQL,
+}
