@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, line_dedup, near_dedup, quality, sharding, url_filter, warc
+from . import byte_bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, quality, sharding, url_filter, warc
 from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "shard")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_extendible_sharding,
         op2_quality_rules,
+        op3_html_extraction,
         op4_license_scan,
         op5_url_filter,
         op6_line_dedup,
