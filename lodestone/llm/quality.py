@@ -27,7 +27,7 @@ from . import runtime, textscan as ts
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Metric, which sides are fenced, and the least spread that counts (all per mille but mean_word: hundredths).
-FENCED = (("symbol_rate", "high", 40), ("dup_line_rate", "high", 100), ("repeat_rate", "high", 50), ("upper_rate", "high", 100), ("bang_rate", "high", 20), ("mean_word", "both", 100))
+FENCED = (("symbol_rate", "high", 15), ("dup_line_rate", "high", 100), ("repeat_rate", "high", 50), ("upper_rate", "high", 100), ("bang_rate", "high", 20), ("mean_word", "both", 100))
 SPREAD = 4
 MIN_GROUP = 50
 SYMBOLS = np.zeros(256, np.int64)
