@@ -115,36 +115,44 @@ def _children(node: Column, level: int, threshold: float) -> Column:
     return F.when(twice, F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def _similar(threshold: float, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (a < b) whose sizes and minwise values allow the threshold."""
+def _similar(threshold: float, n: np.ndarray, sig: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (a < b) of two labels whose sizes and minwise values allow the threshold, and their equal values."""
     cut = K * (threshold - 5 * sqrt(threshold * (1 - threshold) / K))
     a, b = np.triu_indices(len(n), 1)
-    fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
+    fits = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
     a, b = a[fits], b[fits]
     same = np.empty(len(a), np.int64)
     for k in range(0, len(a), 4096):
         same[k : k + 4096] = (sig[a[k : k + 4096]] == sig[b[k : k + 4096]]).sum(axis=1)
     near = same >= cut
-    return a[near], b[near]
+    return a[near], b[near], same[near]
 
 
-def _leaf_pairs(groups: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) candidates of groups: a row has ``m``, an array of (rep, n_shingles, sig)."""
+def _leaf_pairs(groups: DataFrame, threshold: float, nearest: bool) -> DataFrame:
+    """(a, b) candidates of groups: a row has ``m``, an array of (rep, n_shingles, sig, label).
+
+    Texts of one label (component) aren't paired. With nearest, each text gets its most similar partner only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
             flat, ends = column.flatten(), np.cumsum([0, *(len(x) for x in column)])
-            rep, n = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+            rep, n, label = (np.asarray(flat.field(k)) for k in (0, 1, 3))
             sig = np.asarray(flat.field(2).flatten()).reshape(-1, K)
             lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in zip(ends[:-1], ends[1:], strict=True):
-                a, b = _similar(threshold, n[s:e], sig[s:e])
+                a, b, same = _similar(threshold, n[s:e], sig[s:e], label[s:e])
+                if nearest and len(a):
+                    order = np.lexsort((-np.concatenate([same, same]), np.concatenate([a, b])))
+                    who, other = np.concatenate([a, b])[order], np.concatenate([b, a])[order]
+                    first = np.concatenate([[True], who[1:] != who[:-1]])
+                    a, b = who[first], other[first]
                 lows.append(np.minimum(rep[s:e][a], rep[s:e][b]))
                 highs.append(np.maximum(rep[s:e][a], rep[s:e][b]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], names=["a", "b"])
 
-    return groups.select("m").mapInArrow(run, "a long, b long")
+    return groups.select("m").mapInArrow(run, "a long, b long").distinct()
 
 
 def _bloom(spark, ids: DataFrame) -> np.ndarray:
@@ -173,7 +181,7 @@ class _Join:
         twice = real.groupBy("doc_id").agg(F.count_distinct("digest").alias("d")).where("d > 1")
         if twice.isEmpty():
             self.edges = None
-        self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def label_of(self, df: DataFrame, column: str, name: str) -> DataFrame:
@@ -199,7 +207,7 @@ class _Join:
         if self.edges is not None:  # an id may have several texts: the one that stands for its pair's text is meant
             own = self.sketches.select(F.col("doc_id").alias("id"), "digest").join(self.texts.select("digest", F.col("rep").alias("id")), ["digest", "id"])
             once = _with_digest(once).join(own, ["id", "digest"], "left_semi").drop("digest")
-        texts = runtime.cut(once.dropDuplicates(["id"]) if self.edges is None else once)
+        texts = once
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -213,35 +221,47 @@ class _Join:
         joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return runtime.cut(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
 
-    def link(self, pairs: DataFrame) -> None:
-        """Confirm the pairs that still lie in different components, and label anew."""
-        open_pairs = self.label_of(self.label_of(pairs.select("a", "b").distinct(), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
-        open_pairs = runtime.cut(open_pairs)
+    def link(self, pairs: DataFrame) -> bool:
+        """Confirm the pairs that lie in different components and weren't tested yet, and merge what they link."""
+        open_pairs = self.label_of(self.label_of(pairs.select("a", "b").distinct(), "a", "la"), "b", "lb").where("la <> lb")
+        if self.tested is not None:
+            open_pairs = open_pairs.join(self.tested, ["a", "b"], "left_anti")
+        open_pairs = runtime.cut(open_pairs.select("a", "b", "la", "lb"))
         if open_pairs.isEmpty():
-            return
-        found = self.verify(open_pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        self.links = found if self.links is None else self.links.union(found)
-        self.labels = runtime.cut(connected_components(self.links))
+            return False
+        ids = open_pairs.select("a", "b")
+        self.tested = ids if self.tested is None else self.tested.union(ids)
+        found = self.verify(ids)
+        # Components of the components so far: a graph of what is new only.
+        merged = runtime.cut(connected_components(open_pairs.join(found, ["a", "b"], "left_semi").select(F.col("la").alias("u"), F.col("lb").alias("v"))))
+        if self.labels is None:
+            self.labels = merged
+        else:
+            to = merged.select(F.col("v").alias("_v"), F.col("component").alias("_c"))
+            moved = self.labels.join(to, F.col("component") == F.col("_v"), "left").select("v", F.coalesce("_c", "component").alias("component"))
+            fresh = merged.join(self.labels.select("v"), "v", "left_anti")
+            self.labels = runtime.cut(moved.union(fresh))
+        runtime.tidy(self.spark)
+        return True
 
     def run(self) -> DataFrame:
         texts = self.texts.select("rep", "n_shingles", "sig")
         roots = F.array(*[F.lit(t).cast("long") for t in range(self.trees)])
         frontier = texts.select("rep", F.explode(F.flatten(F.transform(roots, lambda r: _children(r, 0, self.threshold)))).alias("node"))
-        candidates: DataFrame | None = None
+        leaves: DataFrame | None = None
+        starring = True
         for level in range(1, LEVELS + 1):
-            sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
+            sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", "node")).alias("pivot")).where("size > 1")
             members = runtime.cut(frontier.join(sizes, "node"))
             small = members.where(F.col("size") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps").distinct()
-            listed = small.select(F.xxhash64("reps").alias("g"), F.explode("reps").alias("rep")).join(texts, "rep")
-            pairs = runtime.cut(_leaf_pairs(listed.groupBy("g").agg(F.collect_list(F.struct("rep", "n_shingles", "sig")).alias("m")), self.threshold).distinct())
-            candidates = pairs if candidates is None else candidates.union(pairs)
+            small = runtime.cut(small.select(F.xxhash64("reps").alias("g"), F.explode("reps").alias("rep")))
+            leaves = small if leaves is None else leaves.union(small)
             large = members.where(F.col("size") > LEAF)
-            nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
             if large.isEmpty():
-                self.link(nearest)
                 break
-            stars = self._stars(large.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts)
-            self.link(nearest.union(stars))
+            if starring:
+                stars = self._stars(large.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), texts)
+                starring = self.link(stars)
             # A node whose texts are all in one component has nothing more to tell.
             labelled = self.label_of(large.select("node", "rep"), "rep", "label")
             mixed = labelled.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("node", "size")
@@ -249,14 +269,25 @@ class _Join:
             if rest.isEmpty():
                 break
             if level == LEVELS:
-                candidates = candidates.union(self._blocks(rest, texts))
+                leaves = leaves.union(self._blocks(rest))
                 break
-            frontier = rest.join(texts, "rep").select("rep", F.explode(_children(F.col("node"), level, self.threshold)).alias("node"))
-            frontier = runtime.cut(frontier.distinct())
-        if candidates is not None:
-            self.link(candidates)
+            children = F.explode(_children(F.col("node"), level, self.threshold)).alias("node")
+            frontier = runtime.cut(rest.join(texts, "rep").select("rep", children).distinct())
+            runtime.tidy(self.spark)
+        leaves = runtime.cut(leaves.distinct())
+        # The most similar pairs of each leaf first: most leaves are one component after that, and are done.
+        if self.link(self._pairs(leaves, texts, True)):
+            self.link(self._pairs(leaves, texts, False))
         return self.result()
 
+    def _pairs(self, leaves: DataFrame, texts: DataFrame, nearest: bool) -> DataFrame:
+        """Candidate pairs of the leaves that hold more than one component."""
+        labelled = self.label_of(leaves, "rep", "label")
+        mixed = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+        listed = labelled.join(mixed, "g", "left_semi").join(texts, "rep")
+        groups = listed.groupBy("g").agg(F.collect_list(F.struct("rep", "n_shingles", "sig", "label")).alias("m"))
+        return _leaf_pairs(groups, self.threshold, nearest)
+
     def _stars(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs with a pivot that sizes and minwise values allow."""
         cut = K * (self.threshold - 5 * sqrt(self.threshold * (1 - self.threshold) / K))
@@ -266,18 +297,17 @@ class _Join:
         fits = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (same >= ceil(cut))
         return both.where(fits).select("a", "b")
 
-    def _blocks(self, rest: DataFrame, texts: DataFrame) -> DataFrame:
-        """Candidates of nodes that stayed large, all against all by pairs of bounded blocks."""
+    def _blocks(self, rest: DataFrame) -> DataFrame:
+        """Nodes that stayed large as leaves (g, rep): one for each pair of bounded blocks, so that all meet all."""
         blocks = F.ceil(F.col("size") / (LEAF / 2)).cast("int")
         own = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
         cells = rest.withColumn("own", own).select("node", "rep", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        cells = cells.select("rep", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("g")).join(texts, "rep")
-        return _leaf_pairs(cells.groupBy("g").agg(F.collect_list(F.struct("rep", "n_shingles", "sig")).alias("m")), self.threshold).distinct()
+        return cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "rep")
 
     def result(self) -> DataFrame:
         """Per row: doc_id, n_shingles, component_id, kept."""
         if self.edges is not None:
-            links = self.edges if self.links is None else self.links.union(self.edges)
+            links = self.edges if self.labels is None else self.edges.union(self.labels.select(F.col("v").alias("u"), F.col("component").alias("v")))
             self.labels = runtime.cut(connected_components(links))
         named = self.label_of(self.texts.select("digest", "rep"), "rep", "component").select("digest", "component")
         out = self.sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,3 +59,9 @@ def any_of(columns: list[Column]) -> Column:
     for c in columns:
         out = out | c
     return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffles of frames that nothing refers to any more (it acts when the driver collects garbage)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
