@@ -223,7 +223,8 @@ def _scan_by_join(docs: DataFrame, bench: DataFrame, n: int, min_items: int, id_
     if remove == "documents":
         return docs.join(found.where(F.col("n_items") >= min_items).select(key), key, "left_anti").drop(key)
     if remove == "spans":
-        dirty = found.where(F.col("n_items") >= min_items).select(F.col(key).alias("_found_key"), F.col("hit_words").alias("_hit_words"))
+        own = runtime.prefix(docs)
+        dirty = found.where(F.col("n_items") >= min_items).select(F.col(key).alias(f"{own}key"), F.col("hit_words").alias(f"{own}hit_words"))
         names = docs.columns
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,7 @@ def _scan_by_join(docs: DataFrame, bench: DataFrame, n: int, min_items: int, id_
                 columns[place] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        joined_docs = docs.join(dirty, F.col(key) == F.col("_found_key"), "left").select(*docs.columns, "_hit_words")
+        joined_docs = docs.join(dirty, F.col(key) == F.col(f"{own}key"), "left").select(*docs.columns, f"{own}hit_words")
         return joined_docs.mapInArrow(drop, docs.schema).drop(key)
     totals = docs.select(key, text_col).mapInArrow(count, f"`{key}` long, n_words long")
     out = docs.select(key, id_col).join(totals, key).join(found, key, "left")

@@ -79,20 +79,21 @@ def removals(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later repeats cut out of its texts, and with n_lines, n_removed."""
     runtime.prepare(df.sparkSession)
-    gone = removals(df, min_words, id_col, text_col).withColumnsRenamed({"k": "_gone_k", "gone": "_gone"})
-    row = df.withColumn("_row_k", _row_key(id_col, text_col))
-    joined = row.join(gone, F.col("_row_k") == F.col("_gone_k"), "left")
+    own = runtime.prefix(df)
+    row_k, gone_k, gone, real, count, places, dropped = (own + x for x in ("row_k", "gone_k", "gone", "real", "count", "places", "dropped"))
+    removed = removals(df, min_words, id_col, text_col).withColumnsRenamed({"k": gone_k, "gone": gone})
+    row = df.withColumn(row_k, _row_key(id_col, text_col))
+    joined = row.join(removed, F.col(row_k) == F.col(gone_k), "left")
     every = F.split(F.col(text_col), "\n", -1)
     flagged = F.transform(every, lambda x: F.regexp_count(x, F.lit(WORD)) > 0)
-    joined = joined.withColumn("_real", flagged).withColumn("_n", F.coalesce(F.size(F.filter("_real", lambda x: x)), F.lit(0)))
+    joined = joined.withColumn(real, flagged).withColumn(count, F.coalesce(F.size(F.filter(real, lambda x: x)), F.lit(0)))
     # Places of the lines with a word, and of those the ones that go.
-    places = F.filter(F.sequence(F.lit(0), F.size("_real") - 1), lambda i: F.get("_real", i))
-    dropped = F.transform("_gone", lambda g: F.get("_places", g))
-    joined = joined.withColumn("_places", F.when(F.col("_gone").isNotNull(), places)).withColumn("_dropped", dropped)
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
+    with_word = F.filter(F.sequence(F.lit(0), F.size(real) - 1), lambda i: F.get(real, i))
+    joined = joined.withColumn(places, F.when(F.col(gone).isNotNull(), with_word)).withColumn(dropped, F.transform(gone, lambda g: F.get(places, g)))
+    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(dropped, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
     n_lines, n_removed = runtime.fresh(df, "n_lines"), runtime.fresh(df, "n_removed")
-    out = joined.withColumns({text_col: text, n_lines: F.greatest("_n", F.lit(0)).cast("long"), n_removed: F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
+    out = joined.withColumns({text_col: text, n_lines: F.greatest(count, F.lit(0)).cast("long"), n_removed: F.coalesce(F.size(gone), F.lit(0)).cast("long")})
     return out.select(*df.columns, n_lines, n_removed)
 
 

@@ -341,5 +341,6 @@ def components(df: DataFrame, threshold: int = 85, recall: float = RECALL, id_co
 def deduplicate(df: DataFrame, threshold: int = 80, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one document of each component; its columns stay as they are."""
     out = components(df, threshold, recall, id_col, text_col)
-    gone = out.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    key = runtime.prefix(df) + "gone"
+    gone = out.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return df.join(gone, F.col(id_col) == F.col(key), "left_anti")

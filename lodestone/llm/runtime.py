@@ -54,6 +54,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def prefix(df: DataFrame) -> str:
+    """What no column name of ``df`` begins with: a space for an operator's own columns beside those of its input."""
+    out = "_own_"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def any_of(columns: list[Column]) -> Column:
     out = F.lit(False)
     for c in columns:

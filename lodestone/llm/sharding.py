@@ -64,34 +64,39 @@ def assign(df: DataFrame, limit: int = LIMIT, keys: tuple[str, ...] = ("doc_id",
     """``df`` with n_bytes and shard: the bits of the bucket, for overflow shards ``<bits>+<number>``."""
     runtime.prepare(df.sparkSession)
     names = [runtime.fresh(df, n) for n in ("n_bytes", "shard")]
+    own = runtime.prefix(df)
     h = key_hash(*[F.md5(k) if df.schema[k].dataType.simpleString() == "string" else F.col(k) for k in keys])
-    whole = df.withColumns({"_h": h, "_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")})
-    small = runtime.cut(whole.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")))
+    whole = df.withColumns({f"{own}h": h, f"{own}bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")})
+    small = runtime.cut(whole.select(F.col(f"{own}h").alias("h"), F.col(f"{own}bytes").alias("bytes")))
     rounds = directory(small, limit)
     shard = F.lit(None).cast("string")
     placed = whole
     for k, (bits, found) in enumerate(rounds):
-        found = found.select(F.col("cell").alias(f"_cell{k}"), F.col("depth").alias(f"_depth{k}"))
-        placed = placed.join(found, _prefix(F.col("_h"), bits) == F.col(f"_cell{k}"), "left")
-        d = F.col(f"_depth{k}")
-        label = F.when(d == 0, F.lit("")).otherwise(F.lpad(F.bin(_prefix(F.col("_h"), d)), BITS, "0"))
+        found = found.select(F.col("cell").alias(f"{own}cell{k}"), F.col("depth").alias(f"{own}depth{k}"))
+        placed = placed.join(found, _prefix(F.col(f"{own}h"), bits) == F.col(f"{own}cell{k}"), "left")
+        d = F.col(f"{own}depth{k}")
+        label = F.when(d == 0, F.lit("")).otherwise(F.lpad(F.bin(_prefix(F.col(f"{own}h"), d)), BITS, "0"))
         shard = F.coalesce(shard, F.when(d.isNotNull(), F.right(label, d)))
-    placed = placed.withColumn("_shard", shard)
+    placed = placed.select(*df.columns, f"{own}h", f"{own}bytes", shard.alias(f"{own}shard"))
     if not rounds[-1][1].where("depth IS NULL").isEmpty():
-        placed = _overflow(placed, limit)
-    return placed.select(*df.columns, F.col("_bytes").alias(names[0]), F.col("_shard").alias(names[1]))
+        placed = _overflow(placed, limit, own)
+    return placed.select(*df.columns, F.col(f"{own}bytes").alias(names[0]), F.col(f"{own}shard").alias(names[1]))
 
 
-def _overflow(placed: DataFrame, limit: int) -> DataFrame:
+def _overflow(placed: DataFrame, limit: int, own: str) -> DataFrame:
     """Numbers for rows without a bucket: those of one hash fill shards in turn, numbered within input partitions first."""
-    rest = placed.where("_shard IS NULL").withColumn("_part", F.spark_partition_id())
-    done = placed.where("_shard IS NOT NULL")
-    rest = rest.withColumn("_nth", F.row_number().over(Window.partitionBy("_h", "_part").orderBy("_bytes")))
-    ahead = rest.groupBy("_h", "_part").agg(F.count("*").alias("_n"))
-    before = ahead.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    each = F.greatest(F.floor(F.lit(limit) / F.col("_bytes")), F.lit(1))
-    number = F.floor((F.col("_before") + F.col("_nth") - 1) / each).cast("string")
-    rest = rest.join(before, ["_h", "_part"]).withColumn("_shard", F.concat(F.lpad(F.bin("_h"), BITS, "0"), F.lit("+"), number))
+    h, size, shard, part, nth, before, n, most = (own + x for x in ("h", "bytes", "shard", "part", "nth", "before", "n", "most"))
+    done = placed.where(F.col(shard).isNotNull())
+    # Written once: the numbers of partitions must be the same wherever they are read.
+    rest = runtime.cut(placed.where(F.col(shard).isNull()).withColumn(part, F.spark_partition_id()))
+    rest = rest.withColumn(nth, F.row_number().over(Window.partitionBy(h, part).orderBy(size)))
+    ahead = rest.groupBy(h, part).agg(F.count("*").alias(n), F.max(size).alias(most))
+    so_far = F.sum(n).over(Window.partitionBy(h).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    largest = F.greatest(F.max(most).over(Window.partitionBy(h)), F.lit(1))
+    ahead = ahead.select(h, part, F.coalesce(so_far, F.lit(0)).alias(before), largest.alias(most))
+    each = F.greatest(F.floor(F.lit(limit) / F.col(most)), F.lit(1))
+    number = F.floor((F.col(before) + F.col(nth) - 1) / each).cast("string")
+    rest = rest.join(ahead, [h, part]).withColumn(shard, F.concat(F.lpad(F.bin(h), BITS, "0"), F.lit("+"), number))
     return done.unionByName(rest.select(*done.columns))
 
 
