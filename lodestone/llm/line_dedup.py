@@ -17,6 +17,8 @@ the same decision; a null doc_id comes first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,27 +75,41 @@ def removals(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     first = near.groupBy("said").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("said", "first")
     later = near.join(first, "said").where(F.struct("doc_id", "k", "start") != F.col("first"))
     gone = later.select("k", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("line")).distinct()
-    return gone.groupBy("k").agg(F.collect_set("line").alias("gone"))
+    return gone.groupBy("k").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """A text without some of its lines with a word: the runs of lines between those, put together again."""
+
+    def runs(lines: Column, gaps: Column) -> Column:
+        """gaps: the places of the lines that go, with one before the first line and one after the last."""
+        kept = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda j: F.slice(lines, F.get(gaps, j - 1) + 2, F.get(gaps, j) - F.get(gaps, j - 1) - 1))
+        return F.array_join(F.flatten(kept), "\n")
+
+    def cut(lines: Column) -> Column:
+        places = F.array_compact(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)))
+        dropped = _let(places, lambda at: F.transform(gone, lambda g: F.get(at, g)))
+        return _let(F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(lines))), lambda gaps: runs(lines, gaps))
+
+    return _let(F.split(text, "\n", -1), cut)
 
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with later repeats cut out of its texts, and with n_lines, n_removed."""
     runtime.prepare(df.sparkSession)
     own = runtime.prefix(df)
-    row_k, gone_k, gone, real, count, places, dropped = (own + x for x in ("row_k", "gone_k", "gone", "real", "count", "places", "dropped"))
+    row_k, gone_k, gone = (own + x for x in ("row_k", "gone_k", "gone"))
     removed = removals(df, min_words, id_col, text_col).withColumnsRenamed({"k": gone_k, "gone": gone})
-    row = df.withColumn(row_k, _row_key(id_col, text_col))
-    joined = row.join(removed, F.col(row_k) == F.col(gone_k), "left")
-    every = F.split(F.col(text_col), "\n", -1)
-    flagged = F.transform(every, lambda x: F.regexp_count(x, F.lit(WORD)) > 0)
-    joined = joined.withColumn(real, flagged).withColumn(count, F.coalesce(F.size(F.filter(real, lambda x: x)), F.lit(0)))
-    # Places of the lines with a word, and of those the ones that go.
-    with_word = F.filter(F.sequence(F.lit(0), F.size(real) - 1), lambda i: F.get(real, i))
-    joined = joined.withColumn(places, F.when(F.col(gone).isNotNull(), with_word)).withColumn(dropped, F.transform(gone, lambda g: F.get(places, g)))
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(dropped, i)), "\n")
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
+    joined = df.withColumn(row_k, _row_key(id_col, text_col)).join(removed, F.col(row_k) == F.col(gone_k), "left")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(gone)))
+    real = F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike(WORD))
     n_lines, n_removed = runtime.fresh(df, "n_lines"), runtime.fresh(df, "n_removed")
-    out = joined.withColumns({text_col: text, n_lines: F.greatest(count, F.lit(0)).cast("long"), n_removed: F.coalesce(F.size(gone), F.lit(0)).cast("long")})
+    out = joined.withColumns({n_lines: F.coalesce(F.size(real), F.lit(0)).cast("long"), n_removed: F.coalesce(F.size(gone), F.lit(0)).cast("long"), text_col: text})
     return out.select(*df.columns, n_lines, n_removed)
 
 
