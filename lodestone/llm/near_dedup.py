@@ -4,8 +4,8 @@ A document's set is its distinct shingles of five words. Documents of equal sets
 its smallest doc_id. Texts get K minwise values. In each of ``trees`` independent trees, a node chooses one or
 two of the K positions (1 / threshold on average, by a hash of the node) and sends each of its texts to a child
 for the value at each chosen position, so that a pair at the threshold survives a level with one common child on
-average. A node of at most ``leaf`` texts is compared exhaustively on its minwise values; larger ones link their
-members with the node's smallest text, drop out if that joined them all, and branch on. A node that stays
+average. Every second level, a node of at most LEAF texts is compared exhaustively on its minwise values; larger
+ones link their members with one text of the node, drop out if that joined them all, and branch on. A node that stays
 large at the last level is compared in blocks, so that nothing is left out. Candidate pairs are confirmed on the
 full sets, computed again from the whole texts.
 
@@ -33,8 +33,9 @@ from .components import connected_components
 
 SHINGLE = 5
 K = 64
-LEAF = 32
-LEVELS = 8
+LEAF = 64
+#: Levels of a tree, and those that are branched at once.
+LEVELS, STRIDE = 8, 2
 RECALL = 0.9999
 BLOOM_BITS = 1 << 26
 _rng = np.random.default_rng(77001)
@@ -115,6 +116,14 @@ def _children(node: Column, level: int, threshold: float) -> Column:
     return F.when(twice, F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
+def _branch(node: Column, level: int, threshold: float) -> Column:
+    """Descendants of a text STRIDE levels below a node."""
+    out = _children(node, level, threshold)
+    for k in range(1, STRIDE):
+        out = F.flatten(F.transform(out, lambda c, k=k: _children(c, level + k, threshold)))
+    return out
+
+
 def _similar(threshold: float, n: np.ndarray, sig: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows (a < b) of two labels whose sizes and minwise values allow the threshold, and their equal values."""
     cut = K * (threshold - 5 * sqrt(threshold * (1 - threshold) / K))
@@ -155,14 +164,14 @@ def _leaf_pairs(groups: DataFrame, threshold: float, nearest: bool) -> DataFrame
     return groups.select("m").mapInArrow(run, "a long, b long").distinct()
 
 
-def _bloom(spark, ids: DataFrame) -> np.ndarray:
-    """A bit for each id's hash: BLOOM_BITS / 8 bytes however many ids there are."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)) + 1  # Spark's bitmaps number positive values from 1
-    rows = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for k, bits in rows:
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
-    return out
+def _bloom(ids: DataFrame) -> DataFrame:
+    """(k, bits): a bit for each id's hash, in pages of 4 KiB; BLOOM_BITS / 8 bytes at most, however many ids there are."""
+    bit = _bit("id")
+    return ids.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
+def _bit(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(BLOOM_BITS)) + 1  # Spark's bitmaps number positive values from 1
 
 
 class _Join:
@@ -177,7 +186,7 @@ class _Join:
         real = self.sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
         # Texts that an id shares with another of its rows are linked through the id itself.
         self.texts = runtime.cut(real.groupBy("digest", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
-        self.edges = real.select("doc_id", "digest").join(self.texts.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        self.edges = real.select("doc_id", "digest").join(self.texts.select("digest", "rep").hint("merge"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
         twice = real.groupBy("doc_id").agg(F.count_distinct("digest").alias("d")).where("d > 1")
         if twice.isEmpty():
             self.edges = None
@@ -188,22 +197,17 @@ class _Join:
         if self.labels is None:
             return df.withColumn(name, F.col(column))
         found = self.labels.select(F.col("v").alias("_v"), F.col("component").alias("_c"))
-        return df.join(found, F.col(column) == F.col("_v"), "left").withColumn(name, F.coalesce("_c", column)).drop("_v", "_c")
+        return df.join(found.hint("merge"), F.col(column) == F.col("_v"), "left").withColumn(name, F.coalesce("_c", column)).drop("_v", "_c")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets, from the whole texts, reach the threshold."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        bits = self.spark.sparkContext.broadcast(_bloom(self.spark, ids))
         percent = self.percent
-
-        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = np.asarray(batch.column(2))
-                yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).select([0, 1])
-
-        bit = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-        wanted = self.docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(likely, "id long, text string")
-        once = wanted.join(ids.distinct(), "id", "left_semi")
+        # The bitmap keeps the texts that aren't asked for out of the shuffle. It is broadcast: its size has a bound.
+        docs = self.docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.bitmap_bucket_number(_bit("doc_id")).alias("k"), F.bitmap_bit_position(_bit("doc_id")).alias("at"))
+        byte = F.expr("conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10)").cast("int")
+        likely = docs.join(F.broadcast(_bloom(ids)), "k").where(F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        once = likely.select("id", "text").join(ids.distinct().hint("merge"), "id", "left_semi")
         if self.edges is not None:  # an id may have several texts: the one that stands for its pair's text is meant
             own = self.sketches.select(F.col("doc_id").alias("id"), "digest").join(self.texts.select("digest", F.col("rep").alias("id")), ["digest", "id"])
             once = _with_digest(once).join(own, ["id", "digest"], "left_semi").drop("digest")
@@ -218,14 +222,15 @@ class _Join:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-        joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")).hint("merge") for x in "ab")
+        joined = pairs.join(left, "a").join(right, "b")
         return runtime.cut(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
 
     def link(self, pairs: DataFrame) -> bool:
         """Confirm the pairs that lie in different components and weren't tested yet, and merge what they link."""
         open_pairs = self.label_of(self.label_of(pairs.select("a", "b").distinct(), "a", "la"), "b", "lb").where("la <> lb")
         if self.tested is not None:
-            open_pairs = open_pairs.join(self.tested, ["a", "b"], "left_anti")
+            open_pairs = open_pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
         open_pairs = runtime.cut(open_pairs.select("a", "b", "la", "lb"))
         if open_pairs.isEmpty():
             return False
@@ -233,13 +238,13 @@ class _Join:
         self.tested = ids if self.tested is None else self.tested.union(ids)
         found = self.verify(ids)
         # Components of the components so far: a graph of what is new only.
-        merged = runtime.cut(connected_components(open_pairs.join(found, ["a", "b"], "left_semi").select(F.col("la").alias("u"), F.col("lb").alias("v"))))
+        merged = runtime.cut(connected_components(open_pairs.join(found.hint("merge"), ["a", "b"], "left_semi").select(F.col("la").alias("u"), F.col("lb").alias("v"))))
         if self.labels is None:
             self.labels = merged
         else:
             to = merged.select(F.col("v").alias("_v"), F.col("component").alias("_c"))
-            moved = self.labels.join(to, F.col("component") == F.col("_v"), "left").select("v", F.coalesce("_c", "component").alias("component"))
-            fresh = merged.join(self.labels.select("v"), "v", "left_anti")
+            moved = self.labels.join(to.hint("merge"), F.col("component") == F.col("_v"), "left").select("v", F.coalesce("_c", "component").alias("component"))
+            fresh = merged.join(self.labels.select("v").hint("merge"), "v", "left_anti")
             self.labels = runtime.cut(moved.union(fresh))
         runtime.tidy(self.spark)
         return True
@@ -247,12 +252,12 @@ class _Join:
     def run(self) -> DataFrame:
         texts = self.texts.select("rep", "n_shingles", "sig")
         roots = F.array(*[F.lit(t).cast("long") for t in range(self.trees)])
-        frontier = texts.select("rep", F.explode(F.flatten(F.transform(roots, lambda r: _children(r, 0, self.threshold)))).alias("node"))
+        frontier = texts.select("rep", F.explode(F.flatten(F.transform(roots, lambda r: _branch(r, 0, self.threshold)))).alias("node"))
         leaves: DataFrame | None = None
         starring = True
-        for level in range(1, LEVELS + 1):
+        for level in range(STRIDE, LEVELS + 1, STRIDE):
             sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", "node")).alias("pivot")).where("size > 1")
-            members = runtime.cut(frontier.join(sizes, "node"))
+            members = runtime.cut(frontier.join(sizes.hint("merge"), "node"))
             small = members.where(F.col("size") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps").distinct()
             small = runtime.cut(small.select(F.xxhash64("reps").alias("g"), F.explode("reps").alias("rep")))
             leaves = small if leaves is None else leaves.union(small)
@@ -265,14 +270,14 @@ class _Join:
             # A node whose texts are all in one component has nothing more to tell.
             labelled = self.label_of(large.select("node", "rep"), "rep", "label")
             mixed = labelled.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y").select("node", "size")
-            rest = runtime.cut(large.select("node", "rep").join(mixed, "node"))
+            rest = runtime.cut(large.select("node", "rep").join(mixed.hint("merge"), "node"))
             if rest.isEmpty():
                 break
             if level == LEVELS:
                 leaves = leaves.union(self._blocks(rest))
                 break
-            children = F.explode(_children(F.col("node"), level, self.threshold)).alias("node")
-            frontier = runtime.cut(rest.join(texts, "rep").select("rep", children).distinct())
+            children = F.explode(_branch(F.col("node"), level, self.threshold)).alias("node")
+            frontier = runtime.cut(rest.join(texts.hint("merge"), "rep").select("rep", children))
             runtime.tidy(self.spark)
         leaves = runtime.cut(leaves.distinct())
         # The most similar pairs of each leaf first: most leaves are one component after that, and are done.
@@ -284,14 +289,14 @@ class _Join:
         """Candidate pairs of the leaves that hold more than one component."""
         labelled = self.label_of(leaves, "rep", "label")
         mixed = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-        listed = labelled.join(mixed, "g", "left_semi").join(texts, "rep")
+        listed = labelled.join(mixed.hint("merge"), "g", "left_semi").join(texts.hint("merge"), "rep")
         groups = listed.groupBy("g").agg(F.collect_list(F.struct("rep", "n_shingles", "sig", "label")).alias("m"))
         return _leaf_pairs(groups, self.threshold, nearest)
 
     def _stars(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs with a pivot that sizes and minwise values allow."""
         cut = K * (self.threshold - 5 * sqrt(self.threshold * (1 - self.threshold) / K))
-        side = lambda x: texts.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+        side = lambda x: texts.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")).hint("merge")
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         fits = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (same >= ceil(cut))
@@ -310,7 +315,7 @@ class _Join:
             links = self.edges if self.labels is None else self.edges.union(self.labels.select(F.col("v").alias("u"), F.col("component").alias("v")))
             self.labels = runtime.cut(connected_components(links))
         named = self.label_of(self.texts.select("digest", "rep"), "rep", "component").select("digest", "component")
-        out = self.sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        out = self.sketches.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
         component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
         out = out.select("doc_id", "n_shingles", component.alias("component_id"))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
