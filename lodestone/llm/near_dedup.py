@@ -6,8 +6,10 @@ two of the K positions (1 / threshold on average, by a hash of the node) and sen
 for the value at each chosen position, so that a pair at the threshold survives a level with one common child on
 average. Every second level, a node of at most LEAF texts is compared exhaustively on its minwise values; larger
 ones link their members with one text of the node, drop out if that joined them all, and branch on. A node that stays
-large at the last level is compared in blocks, so that nothing is left out. Candidate pairs are confirmed on the
-full sets, computed again from the whole texts.
+large at the last level is compared in blocks, each with each, so that nothing is left out. A leaf's comparison has
+two steps: every text's most similar partner, confirmed as pairs, which makes most leaves one component; and
+in the leaves that are left, those with a partner that minwise values allow are compared on their sets, all with all.
+Links are confirmed on the full sets only, computed again from the whole texts.
 
 Recall: with the branching above, a pair at exactly the threshold 0.85 meets in one tree at level 1, 3, 6 with
 probability 0.87, 0.70, 0.54 (the recursion of ``survival``); ``trees_for`` takes as many trees as bring the
@@ -36,6 +38,8 @@ K = 64
 LEAF = 64
 #: Levels of a tree, and those that are branched at once.
 LEVELS, STRIDE = 8, 2
+#: Texts, and shingles, of a block of a node that is compared in blocks.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 18
 RECALL = 0.9999
 BLOOM_BITS = 1 << 26
 _rng = np.random.default_rng(77001)
@@ -137,33 +141,92 @@ def _similar(threshold: float, n: np.ndarray, sig: np.ndarray, label: np.ndarray
     return a[near], b[near], same[near]
 
 
-def _leaf_pairs(groups: DataFrame, threshold: float, nearest: bool) -> DataFrame:
-    """(a, b) candidates of groups: a row has ``m``, an array of (rep, n_shingles, sig, label).
+def _nearest(groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each text of a group with its most similar partner of another label, if minwise values allow the threshold.
 
-    Texts of one label (component) aren't paired. With nearest, each text gets its most similar partner only.
+    A row of ``groups`` has ``m``, an array of (rep, n_shingles, sig, label).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
-            flat, ends = column.flatten(), np.cumsum([0, *(len(x) for x in column)])
-            rep, n, label = (np.asarray(flat.field(k)) for k in (0, 1, 3))
-            sig = np.asarray(flat.field(2).flatten()).reshape(-1, K)
             lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, e in zip(ends[:-1], ends[1:], strict=True):
-                a, b, same = _similar(threshold, n[s:e], sig[s:e], label[s:e])
-                if nearest and len(a):
-                    order = np.lexsort((-np.concatenate([same, same]), np.concatenate([a, b])))
-                    who, other = np.concatenate([a, b])[order], np.concatenate([b, a])[order]
-                    first = np.concatenate([[True], who[1:] != who[:-1]])
-                    a, b = who[first], other[first]
-                lows.append(np.minimum(rep[s:e][a], rep[s:e][b]))
-                highs.append(np.maximum(rep[s:e][a], rep[s:e][b]))
+            for rep, n, label, sig in _groups(batch.column(0)):
+                a, b, same = _similar(threshold, n, sig, label)
+                order = np.lexsort((-np.concatenate([same, same]), np.concatenate([a, b])))
+                who, other = np.concatenate([a, b])[order], np.concatenate([b, a])[order]
+                first = np.concatenate([[True], who[1:] != who[:-1]])[: len(who)]
+                a, b = rep[who[first]], rep[other[first]]
+                lows.append(np.minimum(a, b))
+                highs.append(np.maximum(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], names=["a", "b"])
 
     return groups.select("m").mapInArrow(run, "a long, b long").distinct()
 
 
+def _suspects(groups: DataFrame, threshold: float) -> DataFrame:
+    """(g, rep, label): members of groups with a partner of another label that minwise values allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+            for g, (rep, n, label, sig) in zip(np.asarray(batch.column(0)), _groups(batch.column(1)), strict=True):
+                a, b, _ = _similar(threshold, n, sig, label)
+                some = np.unique(np.concatenate([a, b]))
+                out.append((np.full(len(some), g), rep[some], label[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["g", "rep", "label"])
+
+    return groups.select("g", "m").mapInArrow(run, "g long, rep long, label long")
+
+
+def _groups(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """rep, n_shingles, label and minwise values of each group's members."""
+    flat, ends = column.flatten(), np.cumsum([0, *(len(x) for x in column)])
+    rep, n, label = (np.asarray(flat.field(k)) for k in (0, 1, 3))
+    sig = np.asarray(flat.field(2).flatten()).reshape(-1, K)
+    for s, e in zip(ends[:-1], ends[1:], strict=True):
+        yield rep[s:e], n[s:e], label[s:e], sig[s:e]
+
+
+def _exact_links(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of groups by their full sets, of which those that only close circles are left out.
+
+    A row of ``groups`` has ``m``, an array of (rep, label, text). A member's intersections with all others follow at once
+    from counting how often its shingles stand in each of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, highs = [], []
+            for k in range(batch.num_rows):
+                flat = batch.column(0).slice(k, 1).flatten()
+                rep, label, sets = flat.field(0).to_pylist(), flat.field(1).to_pylist(), _sets(flat.field(2))
+                size = np.array([len(s) for s in sets])
+                values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], owner[order]
+                root = {x: x for x in label}
+                for i, s in enumerate(sets):
+                    low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                    at = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                    both = np.bincount(owner[at], minlength=len(sets))
+                    for j in np.flatnonzero(100 * both >= percent * (size[i] + size - both)).tolist():
+                        x, y = _root(root, label[i]), _root(root, label[j])
+                        if j > i and x != y:
+                            root[x] = y
+                            lows.append(min(rep[i], rep[j]))
+                            highs.append(max(rep[i], rep[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["a", "b"])
+
+    return groups.select("m").mapInArrow(run, "a long, b long").distinct()
+
+
+def _root(root: dict[int, int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
 def _bloom(ids: DataFrame) -> DataFrame:
     """(k, bits): a bit for each id's hash, in pages of 4 KiB; BLOOM_BITS / 8 bytes at most, however many ids there are."""
     bit = _bit("id")
@@ -199,10 +262,8 @@ class _Join:
         found = self.labels.select(F.col("v").alias("_v"), F.col("component").alias("_c"))
         return df.join(found.hint("merge"), F.col(column) == F.col("_v"), "left").withColumn(name, F.coalesce("_c", column)).drop("_v", "_c")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets, from the whole texts, reach the threshold."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        percent = self.percent
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the wanted ids (id)."""
         # The bitmap keeps the texts that aren't asked for out of the shuffle. It is broadcast: its size has a bound.
         docs = self.docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.bitmap_bucket_number(_bit("doc_id")).alias("k"), F.bitmap_bit_position(_bit("doc_id")).alias("at"))
         byte = F.expr("conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10)").cast("int")
@@ -211,7 +272,12 @@ class _Join:
         if self.edges is not None:  # an id may have several texts: the one that stands for its pair's text is meant
             own = self.sketches.select(F.col("doc_id").alias("id"), "digest").join(self.texts.select("digest", F.col("rep").alias("id")), ["digest", "id"])
             once = _with_digest(once).join(own, ["id", "digest"], "left_semi").drop("digest")
-        texts = once
+        return once
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full sets, from the whole texts, reach the threshold."""
+        texts = self.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        percent = self.percent
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -237,8 +303,12 @@ class _Join:
         ids = open_pairs.select("a", "b")
         self.tested = ids if self.tested is None else self.tested.union(ids)
         found = self.verify(ids)
-        # Components of the components so far: a graph of what is new only.
-        merged = runtime.cut(connected_components(open_pairs.join(found.hint("merge"), ["a", "b"], "left_semi").select(F.col("la").alias("u"), F.col("lb").alias("v"))))
+        self.merge(open_pairs.join(found.hint("merge"), ["a", "b"], "left_semi").select(F.col("la").alias("u"), F.col("lb").alias("v")))
+        return True
+
+    def merge(self, links: DataFrame) -> None:
+        """Components of the components so far (u, v: labels): a graph of what is new only."""
+        merged = runtime.cut(connected_components(links))
         if self.labels is None:
             self.labels = merged
         else:
@@ -247,7 +317,6 @@ class _Join:
             fresh = merged.join(self.labels.select("v").hint("merge"), "v", "left_anti")
             self.labels = runtime.cut(moved.union(fresh))
         runtime.tidy(self.spark)
-        return True
 
     def run(self) -> DataFrame:
         texts = self.texts.select("rep", "n_shingles", "sig")
@@ -274,24 +343,27 @@ class _Join:
             if rest.isEmpty():
                 break
             if level == LEVELS:
-                leaves = leaves.union(self._blocks(rest))
+                leaves = leaves.union(self._blocks(rest, texts))
                 break
             children = F.explode(_branch(F.col("node"), level, self.threshold)).alias("node")
             frontier = runtime.cut(rest.join(texts.hint("merge"), "rep").select("rep", children))
             runtime.tidy(self.spark)
         leaves = runtime.cut(leaves.distinct())
-        # The most similar pairs of each leaf first: most leaves are one component after that, and are done.
-        if self.link(self._pairs(leaves, texts, True)):
-            self.link(self._pairs(leaves, texts, False))
+        self.link(_nearest(self._mixed(leaves, texts), self.threshold))
+        left = runtime.cut(_suspects(self._mixed(leaves, texts), self.threshold))
+        if not left.isEmpty():
+            members = left.join(self.texts_of(left.select(F.col("rep").alias("id"))).hint("merge"), F.col("rep") == F.col("id"))
+            found = _exact_links(members.groupBy("g").agg(F.collect_list(F.struct("rep", "label", "text")).alias("m")), self.percent)
+            found = self.label_of(self.label_of(found, "a", "u"), "b", "v")
+            self.merge(runtime.cut(found.select("u", "v")))
         return self.result()
 
-    def _pairs(self, leaves: DataFrame, texts: DataFrame, nearest: bool) -> DataFrame:
-        """Candidate pairs of the leaves that hold more than one component."""
+    def _mixed(self, leaves: DataFrame, texts: DataFrame) -> DataFrame:
+        """(g, m) of the leaves that hold more than one component."""
         labelled = self.label_of(leaves, "rep", "label")
         mixed = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
         listed = labelled.join(mixed.hint("merge"), "g", "left_semi").join(texts.hint("merge"), "rep")
-        groups = listed.groupBy("g").agg(F.collect_list(F.struct("rep", "n_shingles", "sig", "label")).alias("m"))
-        return _leaf_pairs(groups, self.threshold, nearest)
+        return listed.groupBy("g").agg(F.collect_list(F.struct("rep", "n_shingles", "sig", "label")).alias("m"))
 
     def _stars(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs with a pivot that sizes and minwise values allow."""
@@ -302,11 +374,12 @@ class _Join:
         fits = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (same >= ceil(cut))
         return both.where(fits).select("a", "b")
 
-    def _blocks(self, rest: DataFrame) -> DataFrame:
+    def _blocks(self, rest: DataFrame, texts: DataFrame) -> DataFrame:
         """Nodes that stayed large as leaves (g, rep): one for each pair of bounded blocks, so that all meet all."""
-        blocks = F.ceil(F.col("size") / (LEAF / 2)).cast("int")
+        shingles = rest.join(texts.select("rep", "n_shingles").hint("merge"), "rep").groupBy("node").agg(F.sum("n_shingles").alias("shingles"))
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
         own = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
-        cells = rest.withColumn("own", own).select("node", "rep", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        cells = rest.join(shingles.hint("merge"), "node").withColumn("own", own).select("node", "rep", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         return cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "rep")
 
     def result(self) -> DataFrame:
