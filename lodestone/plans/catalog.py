@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "refs_string_agg"
-CLASS = "Lmachinery/nation_24/Customer_00000001;"
+CLASS = "Lfurniture/nation_17/Customer_000000042;"
 
 
 def model_query(sql: str) -> Callable:
