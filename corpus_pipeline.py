@@ -30,8 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    n_lines, n_removed = (F.col(c) for c in out.columns[-2:])  # other names where docs have these
+    emptied = (n_removed > 0) & (n_removed == n_lines)
+    n_chars = F.when(n_removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
