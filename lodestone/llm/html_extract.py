@@ -9,7 +9,9 @@ The network is trained here, on ``TRAIN_PAGES`` pages drawn from a grammar of la
 bounded sample); ``accuracy`` measures it on pages of other seeds.
 
 Defined results: a null or empty html gives an empty text; unclosed and stray tags, unfinished comments and
-very long pages are read to their end; nothing is dropped but what the labeller rejects.
+very long pages are read to their end. What a script, style, textarea, title or iframe holds is no text of the page: it
+runs to the closing tag, or where there is none to the end of the page, as in a browser. Nothing else is dropped but
+what the labeller rejects.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ INPUT = PATH_DIM + WORD_DIM + COUNTS
 BATCH_CELLS = 40_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|<[A-Za-z][^<>]*>", re.S)
-RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "button")}
-HIDDEN_RAW = frozenset(RAW)
+#: Elements whose content is no markup: it is skipped up to the closing tag. All others are tags of a path.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
+#: Within these, "/>" closes any element, and a title is an element as others.
+FOREIGN = frozenset(("svg", "math"))
+#: MathML among them, so that a formula stays within its sentence.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -122,11 +128,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag not in INLINE:
             flush()
-        if tag in HIDDEN_RAW:
+        alone = m[3].rstrip().endswith("/")
+        foreign = (alone or tag == "title") and any(t in FOREIGN for t, _ in stack)
+        if tag in RAW and not (foreign and (alone or tag == "title")):
             end = RAW[tag].search(page, at)
             at = end.end() if end else size
             continue
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in STOPS:
+        if tag in VOID or alone and (foreign or tag not in STOPS):
             continue
         if tag in CLOSES_P:
             _close(stack, ("p",), STOPS)

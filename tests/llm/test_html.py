@@ -21,6 +21,28 @@ def test_blocks():
     assert html_extract.blocks("") == [] and html_extract.blocks("<") and html_extract.blocks("<!-- never ends") == []
 
 
+def test_blocks_keep_what_follows_elements():
+    """Self-closed, closed and unclosed elements whose content is markup: nothing is skipped, and an unclosed one ends with its parent."""
+    texts = lambda page: [b[1] for b in html_extract.blocks(page)]
+    for tag in ("svg", "math", "object", "select", "button", "noscript", "template"):
+        assert texts(f"<article><p>one</p><{tag} class='i'/><p>two</p></article><p>three</p>") == ["one", "two", "three"]
+        assert texts(f"<article><p>one</p><{tag}/><p>two</p><{tag}></{tag}><p>three</p>") == ["one", "two", "three"]
+        assert texts(f"<article><p>one</p><{tag}>x</{tag}><p>two</p></article>") == ["one", "x", "two"]
+        cut = html_extract.blocks(f"<article><p>one</p><div><{tag} class='i'><p>two</p></div><p>three</p></article><p>four</p>")
+        assert [b[1] for b in cut] == ["one", "two", "three", "four"]
+        assert "@i" in cut[1][0] and not any("@i" in b[0] for b in cut[2:])
+    assert texts("<p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds</p>") == ["so a=b holds"]
+    assert texts("<p>one<svg><title/><path d=''/></svg><p>two<svg><title>t</svg><p>three") == ["one", "two", "t", "three"]
+    assert texts("<title>t</title><p>one<textarea>x</textarea><iframe>y</iframe><style>z</style>two") == ["one", "two"]
+
+
+def test_text_beside_icons(labeller):
+    long = "This sentence of the article is long enough to be read, and {} it says what the page is about."
+    for tag in ("<svg class='i'/>", "<button>", "<select>", "<noscript>", "<object>"):
+        (text,) = html_extract.extract_texts(labeller, [f"<html><body><article><p>{long.format('first')}</p><div>{tag}</div><p>{long.format('then')}</p></article></body></html>"])
+        assert long.format("first") in text and long.format("then") in text
+
+
 def test_gradients():
     """Against differences, on a small batch."""
     import numpy as np
