@@ -11,9 +11,11 @@ two steps: every text's most similar partner, confirmed as pairs, which makes mo
 in the leaves that are left, those with a partner that minwise values allow are compared on their sets, all with all.
 Links are confirmed on the full sets only, computed again from the whole texts.
 
-Recall: with the branching above, a pair at exactly the threshold 0.85 meets in one tree at level 1, 3, 6 with
-probability 0.87, 0.70, 0.54 (the recursion of ``survival``); ``trees_for`` takes as many trees as bring the
-miss below 1 - recall. Candidates need an estimate above threshold - 5 standard deviations.
+Recall: a pair at exactly the threshold has Binomial(K, threshold) equal minwise values, the same ones in all trees.
+``miss`` is the chance that it meets in no tree down to the last level, or that its values don't allow the threshold
+(candidates need an estimate above threshold - 5 standard deviations), averaged over that number; ``trees_for`` takes as
+many trees as bring it to 1 - recall at most. For a recall of 0.9999 that is 13 trees at 0.85 (a miss of 6.8e-5) and
+15 at 0.80 (9.3e-5). Pairs that are more similar, or that meet in a small node earlier, are missed more seldom.
 
 Defined results: a text without words has the empty set, links with nothing and stays. A null doc_id takes
 part in no link, has a null component and stays. Rows that repeat a doc_id share their component.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, log, sqrt
+from math import ceil, comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ SHINGLE = 5
 K = 64
 LEAF = 64
 #: Levels of a tree, and those that are branched at once.
-LEVELS, STRIDE = 8, 2
+LEVELS, STRIDE = 4, 2
 #: Texts, and shingles, of a block of a node that is compared in blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 18
 RECALL = 0.9999
@@ -47,17 +49,37 @@ _XOR = _rng.integers(0, 1 << 63, K, dtype=np.uint64)
 _MUL = _rng.integers(1, 1 << 62, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def survival(threshold: float, level: int) -> float:
-    """Chance that a pair at the threshold has a common node at a level of one tree."""
-    two, miss = 1 / threshold - 1, 0.0
+def allowed(threshold: float) -> float:
+    """How many equal minwise values a candidate needs."""
+    return K * (threshold - 5 * sqrt(threshold * (1 - threshold) / K))
+
+
+def survival(threshold: float, level: int, same: float) -> float:
+    """Chance that a pair with this share of equal minwise values has a common node at a level of one tree."""
+    two, lost = 1 / threshold - 1, 0.0
     for _ in range(level):
-        x = 1 - threshold + threshold * miss
-        miss = (1 - two) * x + two * x * x
-    return 1 - miss
+        x = 1 - same + same * lost
+        lost = (1 - two) * x + two * x * x
+    return 1 - lost
+
+
+def miss(threshold: float, trees: int, level: int = LEVELS) -> float:
+    """Chance that a pair at the threshold is no candidate in any tree, where nodes are compared at that level."""
+    total = 0.0
+    for n in range(K + 1):
+        chance = comb(K, n) * threshold**n * (1 - threshold) ** (K - n)
+        total += chance * ((1 - survival(threshold, level, n / K)) ** trees if n >= allowed(threshold) else 1.0)
+    return total
 
 
-def trees_for(threshold: float, recall: float, level: int = 6) -> int:
-    return ceil(log(1 - recall) / log(1 - survival(threshold, level)))
+def trees_for(threshold: float, recall: float) -> int:
+    """The fewest trees with that recall at the threshold, though all nodes stay large down to the last level."""
+    if miss(threshold, 1 << 20) > 1 - recall:
+        raise ValueError(f"a recall of {recall} can't be reached with {K} minwise values")
+    trees = 1
+    while miss(threshold, trees) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def shingle_sets(w: ts.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +152,7 @@ def _branch(node: Column, level: int, threshold: float) -> Column:
 
 def _similar(threshold: float, n: np.ndarray, sig: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows (a < b) of two labels whose sizes and minwise values allow the threshold, and their equal values."""
-    cut = K * (threshold - 5 * sqrt(threshold * (1 - threshold) / K))
+    cut = allowed(threshold)
     a, b = np.triu_indices(len(n), 1)
     fits = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
     a, b = a[fits], b[fits]
@@ -367,7 +389,7 @@ class _Join:
 
     def _stars(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs with a pivot that sizes and minwise values allow."""
-        cut = K * (self.threshold - 5 * sqrt(self.threshold * (1 - self.threshold) / K))
+        cut = allowed(self.threshold)
         side = lambda x: texts.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")).hint("merge")
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)

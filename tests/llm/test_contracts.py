@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from lodestone.llm import byte_bpe, decontaminate, license_scan, line_dedup, near_dedup, quality, queries, sharding, url_filter, warc
@@ -253,6 +254,36 @@ def test_near_chains_and_large_groups(spark):
     assert tables.rows(near_dedup.components(df), *NEAR) == ordered(brute.near(docs))
 
 
+def test_near_trees_reach_the_recall():
+    """The equal values of a pair, Binomial(K, threshold), are the same in all trees; drawn, not by the formula's own sum."""
+    rng = np.random.default_rng(5)
+    for threshold, recall in ((0.85, 0.9999), (0.8, 0.9999), (0.85, 0.999)):
+        trees = near_dedup.trees_for(threshold, recall)
+        same = rng.binomial(near_dedup.K, threshold, 2_000_000)
+        lost = np.zeros(near_dedup.K + 1)
+        for n in range(near_dedup.K + 1):
+            miss = 0.0
+            for _ in range(near_dedup.LEVELS):
+                one = 1 - n / near_dedup.K * (1 - miss)
+                miss = (2 - 1 / threshold) * one + (1 / threshold - 1) * one * one
+            lost[n] = miss**trees if n >= near_dedup.allowed(threshold) else 1
+        assert lost[same].mean() <= 1.1 * (1 - recall)
+        assert near_dedup.miss(threshold, trees) <= 1 - recall < near_dedup.miss(threshold, trees - 1)
+    with pytest.raises(ValueError):
+        near_dedup.trees_for(0.85, 1.0)
+
+
+def test_near_pairs_in_a_group_below_the_threshold(spark):
+    """1,600 texts with 169 common shingles of 185, all pairs at 0.841; two of each pair share one more: 170 of 200, at 0.85 exactly."""
+    base = [f"v{k}" for k in range(173)]
+    docs = [(2 * k + own, " ".join([*base, f"pair{k}", *(f"own{k}_{own}_{n}" for n in range(15))])) for k in range(800) for own in range(2)]
+    sets = [brute.shingles(t) for _, t in docs]
+    both = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert all(both(a, a + 1) for a in range(0, 1600, 2)) and not any(both(0, b) for b in range(2, 1600))  # all pairs of pairs are alike
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert tables.rows(near_dedup.components(df), *NEAR) == ordered([(d, 185, d - d % 2, d % 2 == 0) for d, _ in docs])
+
+
 # -- 10 ---------------------------------------------------------------------------------------------
 
 RECORD = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
