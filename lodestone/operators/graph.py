@@ -75,38 +75,47 @@ def extends_edges(model: CodeModel) -> DataFrame:
     return model.class_defs.join(supers, ["dex_id", "superclass_idx"], "left").select("class_name", "super_name").distinct()
 
 
-def hierarchy(model: CodeModel, depth: int = 64) -> DataFrame:
+def _below(parents: DataFrame, level: DataFrame) -> DataFrame:
+    """``level`` (class_name, depth, ...) and all levels below it, joined one at a time until one is empty.
+
+    No path without a circle is longer than there are classes; rows beyond that raise an error. Each level's lineage is
+    cut, so that deep hierarchies don't repeat the joins above.
+    """
+    reliable = level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    kept = [c for c in level.columns if c not in ("class_name", "depth")]
+    most = parents.select("class_name").distinct().count() + 1
+    out, found = level, 0
+    while not level.isEmpty():
+        found += 1
+        if found > most:
+            raise ValueError("a class is its own superclass")
+        up = level.withColumnRenamed("class_name", "super_name")
+        level = parents.join(up, "super_name").select("class_name", (F.col("depth") + 1).alias("depth"), *kept)
+        level = level.checkpoint() if reliable else level.localCheckpoint()
+        out = out.union(level)
+    return out
+
+
+def hierarchy(model: CodeModel) -> DataFrame:
     """(class_name, depth, root): distance from the topmost known superclass. Classes without one stand under ``Root``.
 
     Levels are joined one at a time until none is left; Spark's recursive CTE would do the same, with limits on
-    rows and levels. Only a count goes to the driver.
+    rows and levels. Only counts go to the driver.
     """
     edges = extends_edges(model).cache()
     defined = edges.select("class_name").distinct()
     parents = edges.where("super_name IS NOT NULL")
     orphans = parents.join(defined.withColumnRenamed("class_name", "super_name"), "super_name", "left_anti").select("class_name")
     level = edges.where("super_name IS NULL").select("class_name").union(orphans).distinct().select("class_name", F.lit(1).alias("depth"), F.col("class_name").alias("root"))
-    out = level
-    for _ in range(depth):
-        up = level.select(F.col("class_name").alias("super_name"), "depth", "root")
-        level = parents.join(up, "super_name").select("class_name", (F.col("depth") + 1).alias("depth"), "root")
-        if level.isEmpty():
-            break
-        out = out.union(level)
+    out = _below(parents, level)
     return out.select("class_name", F.col("depth").cast("long").alias("depth"), "root")
 
 
-def descendants(model: CodeModel, name: str, depth: int = 64) -> DataFrame:
+def descendants(model: CodeModel, name: str) -> DataFrame:
     """All classes below the named one, with their distance."""
     parents = extends_edges(model).where("super_name IS NOT NULL").cache()
     level = parents.where(F.col("super_name") == name).select("class_name", F.lit(1).cast("long").alias("depth"))
-    out = level
-    for _ in range(depth):
-        level = parents.join(level.select(F.col("class_name").alias("super_name"), "depth"), "super_name").select("class_name", (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+    return _below(parents, level)
 
 
 def package_children(model: CodeModel) -> DataFrame:
