@@ -57,7 +57,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> CodeModel:
-    """A stand-in model out of the driver's star schema: a pure projection, no Android code in it.
+    """A stand-in model out of the driver's star schema: no Android code in it.
+
+    It does not hold all rows: instructions come only from line items of even orders (about half of them), type references
+    only from those with line number 1. ``PRELUDE`` has the same filters.
 
     Each of the five regions is a DEX. Id tables repeat in every DEX (as real ones also hold ids they merely refer to);
     classes and bodies are in the DEX of their customer's region. Orders 2k and 2k+1 share a body.
