@@ -59,7 +59,6 @@ HOT_TEXTS, HOT_NODES = 4096, 100_000
 #: Rows of sorted nodes that are compared at a time.
 CHUNK = 1 << 13
 RECALL = 0.9999
-BLOOM_BITS = 1 << 26
 _rng = np.random.default_rng(77001)
 _XOR = _rng.integers(0, 1 << 63, K, dtype=np.uint64)
 _MUL = _rng.integers(1, 1 << 62, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,9 +159,9 @@ def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _mix(*parts: np.ndarray | int) -> np.ndarray:
     """A 64-bit hash of some columns."""
-    out = np.uint64(0x51ED270B35A4F3C7)
+    out = np.array([0x51ED270B35A4F3C7], np.uint64)
     for x in parts:
-        out = ts.mix(np.asarray(out * ts.U(0xD1342543DE82EF95) + (x if isinstance(x, np.ndarray) else ts.U(x))))
+        out = ts.mix(out * ts.U(0xD1342543DE82EF95) + (x if isinstance(x, np.ndarray) else ts.U(x)))
     return out
 
 
@@ -379,16 +378,6 @@ def _exact(cells: DataFrame, percent: int) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def _bloom(ids: DataFrame) -> DataFrame:
-    """(k, bits): a bit for each id's hash, in pages of 4 KiB; BLOOM_BITS / 8 bytes at most, however many ids there are."""
-    bit = _bit("id")
-    return ids.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-
-
-def _bit(name: str) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(BLOOM_BITS)) + 1  # Spark's bitmaps number positive values from 1
-
-
 class _Join:
     """State of one run."""
 
@@ -402,8 +391,9 @@ class _Join:
         # Texts that an id shares with another of its rows are linked through the id itself.
         self.texts = runtime.cut(real.groupBy("digest", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
         self.edges = real.select("doc_id", "digest").join(self.texts.select("digest", "rep").hint("merge"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        twice = real.groupBy("doc_id").agg(F.count_distinct("digest").alias("d")).where("d > 1")
-        if twice.isEmpty():
+        twice = runtime.cut(real.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("n > 1"))
+        self.repeats = not twice.isEmpty()
+        if twice.where("x <> y").isEmpty():
             self.edges = None
         self.labels: DataFrame | None = None
 
@@ -415,14 +405,15 @@ class _Join:
 
     def texts_of(self, ids: DataFrame) -> DataFrame:
         """(id, text) of the wanted ids (id)."""
-        # The bitmap keeps the texts that aren't asked for out of the shuffle. It is broadcast: its size has a bound.
-        docs = self.docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.bitmap_bucket_number(_bit("doc_id")).alias("k"), F.bitmap_bit_position(_bit("doc_id")).alias("at"))
-        byte = F.expr("conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10)").cast("int")
-        likely = docs.join(F.broadcast(_bloom(ids)), "k").where(F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        once = likely.select("id", "text").join(ids.distinct().hint("merge"), "id", "left_semi")
+        # The bitmap keeps the texts that aren't asked for out of the shuffle.
+        docs = self.docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+        docs, likely = runtime.marked(docs, F.col("id"), runtime.bitmap(ids, "id"))
+        once = docs.where(likely).select("id", "text")
+        if self.repeats and self.edges is None:  # the same set whichever row is taken
+            once = once.dropDuplicates(["id"])
         if self.edges is not None:  # an id may have several texts: the one that stands for its pair's text is meant
             own = self.sketches.select(F.col("doc_id").alias("id"), "digest").join(self.texts.select("digest", F.col("rep").alias("id")), ["digest", "id"])
-            once = _with_digest(once).join(own, ["id", "digest"], "left_semi").drop("digest")
+            once = _with_digest(once).join(own, ["id", "digest"], "left_semi").dropDuplicates(["id"]).drop("digest")
         return once
 
     def merge(self, links: DataFrame) -> None:
