@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import names
 from ..plans.model import CodeModel
 
 READS = [*range(0x52, 0x59), *range(0x60, 0x67)]
 WRITES = [*range(0x59, 0x60), *range(0x67, 0x6E)]
 INVOKES = [*range(0x6E, 0x73), *range(0x74, 0x79)]
-ROOT = "Root"
 
 
 def call_edges(model: CodeModel) -> DataFrame:
@@ -81,7 +81,7 @@ def _below(parents: DataFrame, level: DataFrame) -> DataFrame:
     No path without a circle is longer than there are classes; rows beyond that raise an error. Each level's lineage is
     cut, so that deep hierarchies don't repeat the joins above.
     """
-    reliable = level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    session.reliable(level.sparkSession)
     kept = [c for c in level.columns if c not in ("class_name", "depth")]
     most = parents.select("class_name").distinct().count() + 1
     out, found = level, 0
@@ -91,13 +91,13 @@ def _below(parents: DataFrame, level: DataFrame) -> DataFrame:
             raise ValueError("a class is its own superclass")
         up = level.withColumnRenamed("class_name", "super_name")
         level = parents.join(up, "super_name").select("class_name", (F.col("depth") + 1).alias("depth"), *kept)
-        level = level.checkpoint() if reliable else level.localCheckpoint()
+        level = level.checkpoint()
         out = out.union(level)
     return out
 
 
 def hierarchy(model: CodeModel) -> DataFrame:
-    """(class_name, depth, root): distance from the topmost known superclass. Classes without one stand under ``Root``.
+    """(class_name, depth, root): distance from the topmost known superclass. A class without one is its own root.
 
     Levels are joined one at a time until none is left; Spark's recursive CTE would do the same, with limits on
     rows and levels. Only counts go to the driver.

@@ -85,7 +85,7 @@ def list_classes(model: CodeModel, prefix: str | None = None) -> DataFrame:
     if prefix is not None:
         df = df.where(F.col("class_name").startswith(names.class_prefix(F.lit(prefix))))
     # The order is that of three numbers; they come along, for a DataFrame keeps no order of itself.
-    return df.join(F.broadcast(model.dex), "dex_id").select("entry_ord", "logical_ord", "class_def_ord", "dex_name", "class_name")
+    return df.join(model.dex, "dex_id").select("entry_ord", "logical_ord", "class_def_ord", "dex_name", "class_name")
 
 
 def class_filter(model: CodeModel, text: str, limit: int) -> DataFrame:
@@ -99,7 +99,7 @@ def class_filter(model: CodeModel, text: str, limit: int) -> DataFrame:
 def first_dex_of_class(model: CodeModel) -> DataFrame:
     """Each class with the DEX that defines it first."""
     order = Window.partitionBy("class_name").orderBy("entry_ord", "logical_ord", "class_def_ord")
-    df = model.class_defs.join(F.broadcast(model.dex), "dex_id").withColumn("nth", F.row_number().over(order))
+    df = model.class_defs.join(model.dex, "dex_id").withColumn("nth", F.row_number().over(order))
     return df.where("nth = 1").select("class_name", "dex_name")
 
 
@@ -112,27 +112,27 @@ def defines_class(model: CodeModel, name: str) -> DataFrame:
 def find_class(model: CodeModel, name: str) -> DataFrame:
     """The definition of a class that comes first."""
     defs = model.class_defs.where(F.col("class_name") == names.class_descriptor(F.lit(name)))
-    return defs.join(F.broadcast(model.dex), "dex_id").orderBy("entry_ord", "logical_ord", "class_def_ord").limit(1)
+    return defs.join(model.dex, "dex_id").orderBy("entry_ord", "logical_ord", "class_def_ord").limit(1)
 
 
 def extends(model: CodeModel, name: str) -> DataFrame:
     """Classes whose superclass, in their own DEX, is the named one."""
     target = model.types.where(F.col("descriptor") == names.class_descriptor(F.lit(name))).select("dex_id", F.col("type_idx").alias("superclass_idx"), F.col("descriptor").alias("target"))
-    return model.class_defs.join(target, ["dex_id", "superclass_idx"]).join(F.broadcast(model.dex), "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
+    return model.class_defs.join(target, ["dex_id", "superclass_idx"]).join(model.dex, "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
 
 
 def implements(model: CodeModel, name: str) -> DataFrame:
     """Classes that list the named interface."""
     target = model.types.where(F.col("descriptor") == names.class_descriptor(F.lit(name))).select("dex_id", F.col("type_idx").alias("i"), F.col("descriptor").alias("target"))
     listed = model.class_defs.select("dex_id", "class_def_ord", "class_name", F.explode(F.array_distinct("interface_type_idxs")).alias("i"))
-    return listed.join(target, ["dex_id", "i"]).join(F.broadcast(model.dex), "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
+    return listed.join(target, ["dex_id", "i"]).join(model.dex, "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
 
 
 def search_members(model: CodeModel, kind: str, text: str, limit: int = 5000) -> DataFrame:
     """The first ``limit`` members whose name holds the text, and total_hits of all of them."""
     df = model.methods if kind == "method" else model.fields
     idx = "method_idx" if kind == "method" else "field_idx"
-    hits = df.where(F.contains("name", F.lit(text))).join(F.broadcast(model.dex), "dex_id")
+    hits = df.where(F.contains("name", F.lit(text))).join(model.dex, "dex_id")
     total = hits.agg(F.count("*").alias("total_hits"))
     # orderBy + limit is a top-k of each task and of their results; the total is one combined count.
     top = hits.orderBy("entry_ord", "logical_ord", idx).limit(limit).select("dex_name", F.col(idx).alias("member_idx"), "class_name", "name", "descriptor")

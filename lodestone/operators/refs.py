@@ -30,14 +30,14 @@ def occurrences(model: CodeModel, q: FindQuery) -> DataFrame:
     """A row for each reference, numbered from 0 within its method and target, in code order."""
     order = Window.partitionBy("dex_id", "method_idx", "ref_idx").orderBy("insn_off")
     rows = owned(model, q).withColumn("occurrence", (F.row_number().over(order) - 1).cast("long"))
-    return rows.join(F.broadcast(model.dex), "dex_id").select("dex_name", "class_name", "method_name", "method_descriptor", "method_idx", F.lit(q.kind).alias("kind"), F.col("label").alias("matched"), "ref_idx", "occurrence")
+    return rows.join(model.dex, "dex_id").select("dex_name", "class_name", "method_name", "method_descriptor", "method_idx", F.lit(q.kind).alias("kind"), F.col("label").alias("matched"), "ref_idx", "occurrence")
 
 
 def aggregated(model: CodeModel, q: FindQuery) -> DataFrame:
     """A row for each method, with its distinct targets joined in the order of their ids."""
     distinct = owned(model, q).select("dex_id", "method_idx", "class_name", "method_name", "ref_idx", "label").distinct()
     rows = distinct.groupBy("dex_id", "method_idx", "class_name", "method_name").agg(F.sort_array(F.collect_list(F.struct("ref_idx", "label"))).alias("x"))
-    return rows.join(F.broadcast(model.dex), "dex_id").select("dex_name", "method_idx", "class_name", "method_name", F.array_join("x.label", "; ").alias("matched"))
+    return rows.join(model.dex, "dex_id").select("dex_name", "method_idx", "class_name", "method_name", F.array_join("x.label", "; ").alias("matched"))
 
 
 def find_refs(model: CodeModel, q: FindQuery, aggregate: bool = False) -> DataFrame:
@@ -66,15 +66,15 @@ def filter_rows(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(text.lower())) for c in columns]))
 
 
-def owners_of_offsets(model: CodeModel, offsets: DataFrame, body_size: int = 16) -> DataFrame:
-    """Raw offsets (dex_id, offset) with the methods in whose body they lie: a range join by buckets of ``body_size`` bytes.
+def owners_of_offsets(model: CodeModel, offsets: DataFrame, bodies: DataFrame, cell: int = 64) -> DataFrame:
+    """Raw offsets (dex_id, offset) with the methods in whose body they lie.
 
-    ``model.owners`` needs begin and end of each body; each body is put into every bucket that it touches, so the join is an equality
-    join with a range check.
+    bodies: dex_id, code_off, begin, end of each body's instructions in bytes (for archives, those of ``apk.bodies``). Each body is put into
+    every cell of so many bytes that it touches, so the join is an equality join with a range check.
     """
-    bodies = model.owners.select("dex_id", "method_idx", "class_name", "method_name", (F.col("code_off") * body_size).alias("begin"), ((F.col("code_off") + 1) * body_size).alias("end"))
-    cells = bodies.withColumn("cell", F.explode(F.sequence(F.expr(f"begin div {body_size * 4}"), F.expr(f"(end - 1) div {body_size * 4}"))))
-    probes = offsets.withColumn("cell", F.expr(f"offset div {body_size * 4}"))
+    named = model.owners.select("dex_id", "code_off", "method_idx", "class_name", "method_name")
+    cells = bodies.where("end > begin").withColumn("cell", F.explode(F.sequence(F.expr(f"begin div {cell}"), F.expr(f"(end - 1) div {cell}")))).join(named, ["dex_id", "code_off"])
+    probes = offsets.withColumn("cell", F.expr(f"offset div {cell}"))
     return probes.join(cells, ["dex_id", "cell"]).where("offset >= begin AND offset < end").select("dex_id", "offset", "method_idx", "class_name", "method_name")
 
 

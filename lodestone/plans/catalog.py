@@ -231,7 +231,9 @@ JOIN (SELECT p_partkey % 5 AS dex_id, p_partkey * 7 AS "offset" FROM part) p ON
 """)
 def offset_owner_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     offsets = read_table(spark, sf_dir, "part").select((F.col("p_partkey") % 5).alias("dex_id"), (F.col("p_partkey") * 7).alias("offset"))
-    return refs.owners_of_offsets(from_tables(spark, sf_dir), offsets)
+    model = from_tables(spark, sf_dir)
+    bodies = model.owners.select("dex_id", "code_off", (F.col("code_off") * 16).alias("begin"), (F.col("code_off") * 16 + 16).alias("end")).distinct()
+    return refs.owners_of_offsets(model, offsets, bodies)
 
 
 @model_query(f"SELECT DISTINCT r.dex_id, r.ref_kind, r.ref_idx FROM refs r JOIN owners o ON o.dex_id = r.dex_id AND o.code_off = r.code_off WHERE o.class_name = '{CLASS}'")
@@ -263,14 +265,14 @@ _SUPER = "SELECT d.dex_name, c.class_def_ord, c.class_name, t.descriptor AS targ
 @model_query(_SUPER.format(on="c.superclass_idx", target="' || (SELECT descriptor FROM types WHERE type_idx = 11 LIMIT 1) || '"))
 def extends_direct(m: CodeModel) -> DataFrame:
     target = m.types.where("type_idx = 11").select("dex_id", F.col("type_idx").alias("superclass_idx"), F.col("descriptor").alias("target"))
-    return m.class_defs.join(target, ["dex_id", "superclass_idx"]).join(F.broadcast(m.dex), "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
+    return m.class_defs.join(target, ["dex_id", "superclass_idx"]).join(m.dex, "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
 
 
 @model_query(_SUPER.format(on="c.interface_idx", target="' || (SELECT descriptor FROM types WHERE type_idx = 7 LIMIT 1) || '"))
 def implements(m: CodeModel) -> DataFrame:
     target = m.types.where("type_idx = 7").select("dex_id", F.col("type_idx").alias("i"), F.col("descriptor").alias("target"))
     listed = m.class_defs.select("dex_id", "class_def_ord", "class_name", F.explode("interface_type_idxs").alias("i"))
-    return listed.join(target, ["dex_id", "i"]).join(F.broadcast(m.dex), "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
+    return listed.join(target, ["dex_id", "i"]).join(m.dex, "dex_id").select("dex_name", "class_def_ord", "class_name", "target")
 
 
 _EDGES = """, edges AS (SELECT DISTINCT c.class_name, t.descriptor AS super_name FROM class_defs c LEFT JOIN types t ON t.dex_id = c.dex_id AND t.type_idx = c.superclass_idx)"""
@@ -295,14 +297,15 @@ def hierarchy_roots(m: CodeModel) -> DataFrame:
   UNION ALL SELECT e.class_name, depth + 1 FROM down JOIN edges e ON e.super_name = down.class_name
 ) SELECT * FROM down""")
 def extends_transitive(m: CodeModel) -> DataFrame:
-    name = m.types.where("type_idx = 1").select("descriptor").first()[0]
-    return graph.descendants(m, name)
+    named = m.types.where("type_idx = 1").agg(F.min("descriptor")).first()[0]
+    return graph.descendants(m, named or "")
 
 
 _CALLS = """, calls AS (
   SELECT r.dex_id, o.class_name AS from_class, o.method_name AS from_name, o.method_descriptor AS from_descriptor, o.method_idx, t.class_name AS to_class, t.name AS to_name,
-         t.descriptor AS to_descriptor, r.ref_idx AS callee_idx, r.insn_off, t.class_name NOT IN (SELECT class_name FROM class_defs) AS is_external
+         t.descriptor AS to_descriptor, r.ref_idx AS callee_idx, r.insn_off, d.class_name IS NULL AS is_external
   FROM refs r JOIN methods t ON t.dex_id = r.dex_id AND t.method_idx = r.ref_idx JOIN owners o ON o.dex_id = r.dex_id AND o.code_off = r.code_off
+  LEFT JOIN (SELECT DISTINCT class_name FROM class_defs) d ON d.class_name = t.class_name
   WHERE r.opcode BETWEEN 110 AND 114 OR r.opcode BETWEEN 116 AND 120)"""
 
 

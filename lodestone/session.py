@@ -27,6 +27,16 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(target))
 
 
+def reliable(spark: SparkSession) -> None:
+    """Make sure that a checkpoint folder is set: the one named in ``spark.checkpoint.dir``; on a local master that names none, a temporary one."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master().startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
+
+
 def local(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches."""
     return (
