@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -33,8 +34,10 @@ PATH_SLOTS, PATH_DIM, WORD_SLOTS, WORD_DIM, COUNTS = 4096, 24, 2048, 6, 6
 INPUT = PATH_DIM + WORD_DIM + COUNTS
 #: Blocks of a batch of pages that the network reads together.
 BATCH_CELLS = 40_000
+#: Of a path of more open tags, the outermost and the innermost so many are read. The text counts whole.
+OUTER, INNER = 16, 48
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[!?/][^>]*>|<[A-Za-z][^<>]*>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>|<[!?/][^>]*>|<[A-Za-z][^<>]*>", re.S)
 #: Elements whose content is no markup: it is skipped up to the closing tag. All others are tags of a path.
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 #: Within these, "/>" closes any element, and a title is an element as others.
@@ -70,12 +73,30 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters within links) of a page's leaf blocks, in order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Tag, its names, and whether it stands in a link and in a foreign element, itself included.
+    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     state = {"path": None, "link": 0}
+    last = page.rfind(">") + 1  # behind it no tag can end, so none is looked for
 
     def path() -> tuple[str, ...]:
-        return tuple(n for tag, names in stack for n in names if tag not in INLINE or len(names) > 1)
+        near = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+        return tuple(n for tag, names, _, _ in near for n in names if tag not in INLINE or len(names) > 1)
+
+    def drop(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
+    def close(tags: tuple[str, ...], stops: frozenset) -> None:
+        if any(opened[t] for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    drop(k)
+                    return
+                if stack[k][0] in stops:
+                    return
 
     def flush() -> None:
         if parts:
@@ -92,12 +113,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 return
             state["path"] = path()
         parts.append(text)
-        if any(t == "a" for t, _ in stack):
+        if stack and stack[-1][2]:
             state["link"] += len(text)
 
     at, size = 0, len(page)
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at < last or page.find("<!", at) >= 0 else None
         if not m:
             say(page[at:])
             break
@@ -107,15 +128,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         name = m[2]
         if not name:
             if m[0].startswith("<![CDATA["):
-                say(m[0][9:-3].replace("&", "&amp;"))
+                say(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     if tag not in INLINE:
                         flush()
-                    del stack[k:]
+                    drop(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
@@ -129,7 +150,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag not in INLINE:
             flush()
         alone = m[3].rstrip().endswith("/")
-        foreign = (alone or tag == "title") and any(t in FOREIGN for t, _ in stack)
+        foreign = (alone or tag == "title") and bool(stack and stack[-1][3])
         if tag in RAW and not (foreign and (alone or tag == "title")):
             end = RAW[tag].search(page, at)
             at = end.end() if end else size
@@ -137,30 +158,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in VOID or alone and (foreign or tag not in STOPS):
             continue
         if tag in CLOSES_P:
-            _close(stack, ("p",), STOPS)
+            close(("p",), STOPS)
         if tag in IMPLIED:
-            _close(stack, IMPLIED[tag], STOPS)
-        stack.append((tag, _names(tag, m[3])))
+            close(IMPLIED[tag], STOPS)
+        in_link, in_foreign = stack[-1][2:] if stack else (False, False)
+        stack.append((tag, _names(tag, m[3]), in_link or tag == "a", in_foreign or tag in FOREIGN))
+        opened[tag] += 1
     flush()
     return out
 
 
-def _close(stack: list, tags: tuple[str, ...], stops: frozenset) -> None:
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in tags:
-            del stack[k:]
-            return
-        if stack[k][0] in stops:
-            return
-
-
 # -- inputs -----------------------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=65536)
 def _path_slots(path: tuple[str, ...]) -> np.ndarray:
     """Hashed names of a path: each name, and each with the one above it."""
-    said = [*set(path), *{f"{a}>{b}" for a, b in zip(path, path[1:], strict=False)}] or ["-"]
+    said = [*dict.fromkeys(path), *dict.fromkeys(f"{a}>{b}" for a, b in zip(path, path[1:], strict=False))] or ["-"]
     return np.array([crc32(x.encode()) % PATH_SLOTS for x in said], np.int64)
 
 

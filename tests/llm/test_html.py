@@ -78,3 +78,20 @@ def test_query_returns_every_page(spark, tiny):
     assert got.columns[:4] == ["page_id", "url", "text", "n_chars"]
     assert got.count() == spark.read.parquet(f"{tiny}/pages.parquet").count()
     assert all("<script" not in r["text"] and "  " not in r["text"] for r in got.collect())
+
+
+def test_long_and_broken_pages_take_linear_time():
+    """A quarter of a megabyte each; a parser that looks back or ahead for every tag takes minutes."""
+    import time
+
+    n = 60_000
+    for page in ("<a " * n, "<div>x" * n, "<a href='" * n, "</b>" * n + "<div>" * n + "</p>" * n, "<p>x<b>" * n, "<!-- " * n, "<div>" * n + "</x>" * n, "<" * 4 * n):
+        began = time.time()
+        html_extract.blocks(page)
+        assert time.time() - began < 20, page[:20]
+    deep = html_extract.blocks("<div>" * 5000 + "the end")
+    assert [t for _, t, _ in deep] == ["the end"] and len(deep[0][0]) == html_extract.OUTER + html_extract.INNER
+
+
+def test_cdata_without_an_end():
+    assert [t for _, t, _ in html_extract.blocks("<svg><![CDATA[whole text")] == ["whole text"]
