@@ -7,7 +7,8 @@ broadcast only while the benchmark's text is at most ``max_broadcast_bytes``; a
 by window hash in a shuffle instead, with the same results.
 
 Defined results: null or empty texts have no words; a null item_id counts as the empty string; repeated
-items with one id count once per distinct id; repeated documents each get their own row.
+items with one id count once per distinct id; repeated documents each get their own row. An empty table gives an
+empty result, an empty benchmark no hits. Very long texts count whole.
 """
 
 from __future__ import annotations
@@ -27,44 +28,69 @@ MAX_BROADCAST_BYTES = 32 << 20
 
 
 class WindowSet:
-    """The windows of a benchmark: by length, sorted hashes and what stands behind each."""
+    """The windows of a benchmark: by length, sorted hashes in one array, where each one's words stand in one text, and its items.
+
+    Some 24 bytes a window and the text itself; it is made once, on the driver, and broadcast as it is.
+    """
 
     def __init__(self, ids: list[str], texts: list[str | None], n: int):
-        self.n = n
-        self.ids = ids
-        lengths: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
-        self.windows: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+        self.n, self.ids = n, ids
+        said, at = [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for row, buf, offsets in ts.slabs(pa.array(texts, pa.string())):
             w = ts.words(buf, offsets, ts.ALNUM, lower=True)
+            said.append(joined(w, 0, len(w.start)) + b" ")
+            end = at + np.cumsum(w.end - w.start + 1) - 1
+            begin = end - (w.end - w.start)
+            at += len(said[-1])
             for k in range(w.docs):
                 a, b = int(w.first[k]), int(w.first[k + 1])
                 if a == b:
                     continue
                 size = min(n, b - a)
                 hashes, _ = ts.window_hashes(w.hash[a:b], w.doc[a:b], size)
-                for i, h in enumerate(hashes.tolist()):
-                    said = joined(w, a + i, size)
-                    owners = self.windows.setdefault((size, h), {}).setdefault(said, [])
-                    if not owners or owners[-1] != row + k:
-                        owners.append(row + k)
-                lengths.setdefault(size, ([], []))[0].append(hashes)
-        self.sorted = {size: np.unique(np.concatenate(found)) for size, (found, _) in sorted(lengths.items())}
+                own = (hashes, begin[a : b - size + 1], end[a + size - 1 : b], np.full(len(hashes), row + k))
+                found.setdefault(size, []).append(own)
+        self.text = b"".join(said)
+        self.by_size = {size: self._sorted(*(np.concatenate(c) for c in zip(*parts, strict=True))) for size, parts in sorted(found.items())}
+
+    def _sorted(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct windows (hash, begin, end, where its items begin) in the order of their hashes, and all items."""
+        order = np.lexsort((owner, hashes))
+        hashes, begin, end, owner = hashes[order], begin[order], end[order], owner[order]
+        words = lambda k: self.text[begin[k] : end[k]]
+        again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+        fresh = np.ones(len(hashes), bool)
+        fresh[again] = [words(k) != words(k - 1) for k in again.tolist()]
+        for h in np.unique(hashes[again[fresh[again]]]).tolist():  # different words of one hash: put together what is equal
+            low, high = np.searchsorted(hashes, [h], "left")[0], np.searchsorted(hashes, [h], "right")[0]
+            some = np.array(sorted(range(low, high), key=lambda k: (words(k), owner[k])))
+            begin[low:high], end[low:high], owner[low:high] = begin[some], end[some], owner[some]
+            fresh[low + 1 : high] = [words(k) != words(k - 1) for k in range(low + 1, high)]
+        keep = fresh.copy()
+        keep[1:] |= owner[1:] != owner[:-1]
+        first = np.flatnonzero(fresh)
+        starts = np.append(np.cumsum(keep)[first] - 1, keep.sum())
+        return hashes[first], begin[first], end[first], starts, owner[keep].astype(np.int32)
 
     def scan(self, w: ts.Words) -> tuple[np.ndarray, list[set[int]]]:
         """Which words of a slab are hit, and the items whose windows occur in each document."""
         marks = np.zeros(len(w.hash) + 1, np.int64)
         items: list[set[int]] = [set() for _ in range(w.docs)]
-        for size, known in self.sorted.items():
+        for size, (known, begin, end, starts, owners) in self.by_size.items():
             hashes, whole = w.windows(size)
             if not len(hashes):
                 continue
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             for i in np.flatnonzero((known[at] == hashes) & whole).tolist():
-                owners = self.windows[size, int(hashes[i])].get(joined(w, i, size))
-                if owners:  # verified word by word
-                    marks[i] += 1
-                    marks[i + size] -= 1
-                    items[w.doc[i]].update(owners)
+                said, k = joined(w, i, size), at[i]
+                while k < len(known) and known[k] == hashes[i]:
+                    if self.text[begin[k] : end[k]] == said:  # verified word by word
+                        marks[i] += 1
+                        marks[i + size] -= 1
+                        items[w.doc[i]].update(owners[starts[k] : starts[k + 1]].tolist())
+                        break
+                    k += 1
         return np.cumsum(marks[:-1]) > 0, items
 
 
@@ -111,18 +137,11 @@ def scan(
     if size > max_broadcast_bytes:
         return _scan_by_join(docs, bench, n, min_items, id_col, text_col, remove)
     rows = bench.collect()  # at most max_broadcast_bytes
-    found = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    found = spark.sparkContext.broadcast(WindowSet([r[0] for r in rows], [r[1] for r in rows], n))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    cache: dict[str, WindowSet] = {}
-
-    def windows() -> WindowSet:
-        if "set" not in cache:
-            cache["set"] = WindowSet(*found.value, n)
-        return cache["set"]
-
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = windows()
+        known = found.value
         for batch in batches:
             counts: list[tuple[int, int, int, str]] = []
             for _, buf, offsets in ts.slabs(batch.column(1)):
@@ -139,7 +158,7 @@ def scan(
             )
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = windows()
+        known = found.value
         for batch in batches:
             place = batch.schema.get_field_index(text_col)
             column = batch.column(place)
