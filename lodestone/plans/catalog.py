@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from ..functions import names
 from ..operators import graph, locate, refs
 from ..operators.locate import FindQuery
 from ..session import ship
-from .model import PRELUDE, CodeModel, from_tables, read_table
+from .model import PRELUDE, PRELUDE_WHOLE, CodeModel, from_tables, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,15 +21,24 @@ FLAGSHIP = "refs_string_agg"
 CLASS = "Lfurniture/nation_17/Customer_000000042;"
 
 
-def model_query(sql: str) -> Callable:
-    """Register a function of a model, with the SQL that follows the model's projection."""
+def model_query(sql: str, cut: bool = True) -> Callable:
+    """Register a function of a model, with the SQL that follows the model's projection.
+
+    Queries on references are registered twice: as they were (``cut``), over the model's cut of line items, and as ``<name>_whole`` over all of them.
+    """
 
     def register(f: Callable[[CodeModel], DataFrame]) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(from_tables(spark, sf_dir))
+        def over(whole: bool) -> Query:
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return f(from_tables(spark, sf_dir, whole))
+
+            return run
 
-        QUERIES[f.__name__], SQL[f.__name__] = run, PRELUDE + sql
+        if cut:
+            QUERIES[f.__name__], SQL[f.__name__] = over(False), PRELUDE + sql
+        if re.search(r"\brefs\b", sql):
+            QUERIES[f"{f.__name__}_whole"], SQL[f"{f.__name__}_whole"] = over(True), PRELUDE_WHOLE + sql
         return f
 
     return register
@@ -257,6 +267,17 @@ def union_intersect_except_ids(m: CodeModel) -> DataFrame:
     return first.union(first).intersect(others).subtract(red)
 
 
+@model_query("""
+, used AS (SELECT DISTINCT dex_id, ref_idx FROM refs WHERE ref_kind = 'string'), said AS (SELECT dex_id, string_idx AS ref_idx, value FROM strings)
+(SELECT dex_id, ref_idx FROM used INTERSECT SELECT dex_id, ref_idx FROM said WHERE contains(value, 'widget'))
+UNION (SELECT dex_id, ref_idx FROM said WHERE contains(value, 'blue') EXCEPT SELECT dex_id, ref_idx FROM used)
+""", cut=False)
+def string_id_sets(m: CodeModel) -> DataFrame:
+    ids = lambda text: locate.locate(m, FindQuery("string", text)).select("dex_id", "ref_idx")
+    used = m.refs.where("ref_kind = 'string'").select("dex_id", "ref_idx")
+    return used.intersect(ids("widget")).union(ids("blue").subtract(used)).distinct()
+
+
 # -- hierarchy and graph ----------------------------------------------------------------------------
 
 _SUPER = "SELECT d.dex_name, c.class_def_ord, c.class_name, t.descriptor AS target FROM class_defs c JOIN types t ON t.dex_id = c.dex_id AND t.type_idx = {on} JOIN dex d ON d.dex_id = c.dex_id WHERE t.descriptor = '{target}'"

@@ -56,10 +56,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_tables(spark: SparkSession, sf_dir: str) -> CodeModel:
+def from_tables(spark: SparkSession, sf_dir: str, whole: bool = False) -> CodeModel:
     """A stand-in model out of the driver's star schema: no Android code in it.
 
-    It does not hold all rows: instructions come only from line items of even orders (about half of them), type references
+    whole: every line item is an instruction and names a type too; the SQL is ``PRELUDE_WHOLE``. Without it the model
+    does not hold all rows: instructions come only from line items of even orders (about half of them), type references
     only from those with line number 1. ``PRELUDE`` has the same filters.
 
     Each of the five regions is a DEX. Id tables repeat in every DEX (as real ones also hold ids they merely refer to);
@@ -94,15 +95,20 @@ def from_tables(spark: SparkSession, sf_dir: str) -> CodeModel:
     homes = classes.select("class_type_idx", F.col("home").alias("dex_id"))
     own = orders.join(homes, F.col("o_custkey") == F.col("class_type_idx"))
     members = own.select("dex_id", F.col("o_custkey").alias("class_def_ord"), F.lit("virtual_method").alias("kind"), F.col("o_orderkey").alias("member_idx"), (F.col("o_orderkey") % 32).alias("access_flags"), (F.expr("o_orderkey div 2") + 1).alias("code_off"))
-    items = t("lineitem").where("l_orderkey % 2 = 0").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    items = items.withColumn("insn_off", place.cast("long")).join(own.select("o_orderkey", "dex_id"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus")
+    order, owned = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), own.select("o_orderkey", "dex_id")
+    if whole:  # two orders of a DEX share a body, so that places are numbered over both
+        body = Window.partitionBy("dex_id", F.expr("l_orderkey div 2")).orderBy("l_orderkey", *order)
+        items = items.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("insn_off", F.row_number().over(body).cast("long"))
+    else:
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
+        items = items.where("l_orderkey % 2 = 0").withColumn("insn_off", place.cast("long")).join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = F.create_map(*[F.lit(x) for x in ("A", "string", "N", "method", "R", "field")])
     code_off = (F.expr("l_orderkey div 2") + 1).alias("code_off")
     # iget / iput, invoke-virtual, const-string; new-instance for the type references.
     opcode = F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", 0x52).otherwise(0x59)).when(F.col("l_returnflag") == "N", 0x6E).otherwise(0x1A)
     refs = items.select("dex_id", code_off, "insn_off", opcode.alias("opcode"), kind[F.col("l_returnflag")].alias("ref_kind"), F.col("l_partkey").alias("ref_idx"))
-    typed = items.where("l_linenumber = 1").select("dex_id", code_off, (F.col("insn_off") + 1_000_000).alias("insn_off"), F.lit(0x22).alias("opcode"), F.lit("type").alias("ref_kind"), F.col("l_suppkey").alias("ref_idx"))
+    typed = (items if whole else items.where("l_linenumber = 1")).select("dex_id", code_off, (F.col("insn_off") + 1_000_000).alias("insn_off"), F.lit(0x22).alias("opcode"), F.lit("type").alias("ref_kind"), F.col("l_suppkey").alias("ref_idx"))
     return CodeModel(dex, strings, types, flds, meths, defs, members, refs.unionByName(typed))
 
 
@@ -150,3 +156,10 @@ owners AS (
   FROM class_members m JOIN methods x ON x.dex_id = m.dex_id AND x.method_idx = m.member_idx
 )
 """
+
+#: The projection of all line items.
+PRELUDE_WHOLE = (
+    PRELUDE.replace(" WHERE l_orderkey % 2 = 0", "")
+    .replace("PARTITION BY l_orderkey ORDER BY l_linenumber", "PARTITION BY m.dex_id, l_orderkey // 2 ORDER BY l_orderkey, l_linenumber")
+    .replace(" FROM items WHERE l_linenumber = 1", " FROM items")
+)
