@@ -1,12 +1,15 @@
 """Licence scan by a positional rare-token index, with DataFrame functions only.
 
-Templates are short licence statements. The index holds, for each template, where its words stand, and each
-word's inverse document frequency over the templates. Of a file, the places of the index's words are looked up; for
-each template its two words of highest IDF that its key phrase holds give relative positions (place in the file
-minus place in the template), and those on which both agree are verified: every word of the key
-phrase must stand there. The score is the share of the template's IDF that the file has at that position.
-
-Defined results: a null or empty text has no words, no labels and score 0. Repeated rows get a row each.
+Templates are short licence statements with a key phrase that must stand whole. The index posts each template under the two words of its
+key phrase with the highest inverse document frequency over the templates: word -> (template, place). Of a file, the words that have
+postings are looked up; each posting gives a template's start in the file (place in the file minus place in the template). The starts
+that a template's rarest and its second rarest word agree on are verified: every word of the key phrase must stand there. The
+score is the share of the template's IDF that the file has at that start. Templates are rows of the index, not columns
+of the plan, so that a longer list makes longer literals and no larger plan.
+
+Defined results: a null or empty text has no words, no labels and score 0; an empty table gives an empty one. Repeated rows get a row
+each, whatever their ids; other columns play no part. Long texts are scanned whole, in memory that grows with their words;
+of several starts or templates all labels count, and the best score.
 """
 
 from __future__ import annotations
@@ -49,28 +52,64 @@ TEMPLATES = (
     ("reserved", "all rights reserved", "all rights reserved"),
 )
 SCALE = 1000
+#: A start is kept as template * STARTS + start + BEFORE, in one number, for a template may begin before the text does.
+STARTS, BEFORE = 1 << 40, 1 << 16
 
 
-def build_index() -> list[dict]:
-    """Per template: label, words, integer IDF of each word, place of the key phrase, its two rarest places."""
-    have = Counter(w for _, text, _ in TEMPLATES for w in set(text.split()))
+def build_index(templates: tuple[tuple[str, str, str], ...] = TEMPLATES) -> list[dict]:
+    """Per template: label, words, integer IDF of each word, place of the key phrase, its rarest and second rarest place."""
+    have = Counter(w for _, text, _ in templates for w in set(text.split()))
     out = []
-    for label, text, key in TEMPLATES:
+    for label, text, key in templates:
         words, phrase = text.split(), key.split()
         at = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
-        idf = [1 + round(SCALE * log(len(TEMPLATES) / have[w])) for w in words]
+        idf = [1 + round(SCALE * log(len(templates) / have[w])) for w in words]
         rare = sorted(range(at, at + len(phrase)), key=lambda k: (-idf[k], k))[:2]
-        out.append({"label": label, "words": words, "idf": idf, "at": at, "phrase": phrase, "rare": rare})
+        out.append({"label": label, "words": words, "idf": idf, "at": at, "phrase": phrase, "rare": (rare[0], rare[-1])})
     return out
 
 
 INDEX = build_index()
-VOCABULARY = sorted({w for t in INDEX for w in t["phrase"]} | {w for p, _ in BASE for w in p.split()})
 #: Every key and base phrase holds one of these, so that other texts are done after a plain byte search.
 ANCHORS = ("license", "cc", "reserved", "source", "creative", "granted", "domain")
 assert all(any(a in p for a in ANCHORS) for p in [*(t[2] for t in TEMPLATES), *(b[0] for b in BASE)])
 
 
+def _postings(index: list[dict], nth: int) -> dict[str, list[int]]:
+    """Word -> what to add to its place in a file for the start of each template posted under it."""
+    out: dict[str, list[int]] = {}
+    for k, t in enumerate(index):
+        place = t["rare"][nth]
+        out.setdefault(t["words"][place], []).append(k * STARTS + BEFORE - place)
+    return out
+
+
+def _starts(postings: dict[str, list[int]]) -> Column:
+    """The starts that the words of a file, at the places ``at``, give by these postings."""
+    words = sorted(postings)
+    table = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*[F.lit(n).cast("long") for n in postings[w]]))])
+    own = F.filter("at", lambda i: F.get("words", i).isin(words))
+    return F.flatten(F.transform(own, lambda i: F.transform(F.try_element_at(table, F.get("words", i)), lambda n: n + i)))
+
+
+def _rows(index: list[dict]) -> Column:
+    """The templates as an array, one row each."""
+    strings = lambda x: F.array(*[F.lit(w) for w in x])
+    return F.array(
+        *[
+            F.struct(
+                F.lit(t["label"]).alias("label"),
+                strings(t["words"]).alias("words"),
+                F.array(*[F.lit(n) for n in t["idf"]]).alias("idf"),
+                F.lit(t["at"]).alias("at"),
+                F.lit(len(t["phrase"])).alias("n"),
+                F.lit(float(sum(t["idf"]))).alias("total"),
+            )
+            for t in index
+        ]
+    )
+
+
 def _stands(words: Column, start: Column, phrase: list[str]) -> Column:
     out = F.lit(True)
     for k, w in enumerate(phrase):
@@ -83,42 +122,52 @@ def _where(places: str | Column, words: Column, ahead: int, phrase: list[str]) -
     return F.filter(places, lambda i: _stands(words, i + ahead, phrase))
 
 
-def _best(words: Column, t: dict) -> Column:
-    """The largest IDF sum of a template over its verified positions; 0 if there is none."""
+def _verified(index: list[dict]) -> Column:
+    """(label, score) of the starts on which a template's two rare words agree and at which its key phrase stands."""
+    words, rows = F.col("words"), _rows(index)
+    agreed = F.array_intersect(_starts(_postings(index, 0)), _starts(_postings(index, 1)))
+
+    def stands(t: Column, start: Column, k: Column) -> Column:
+        return F.coalesce(F.get(words, start + k) == F.get(t["words"], k), F.lit(False))
+
+    def judged(code: Column) -> Column:
+        t, start = F.get(rows, F.shiftright(code, 40).cast("int")), (code.bitwiseAND(F.lit(STARTS - 1)) - BEFORE).cast("int")
+        return F.struct(t.alias("t"), start.alias("start"))
+
+    def whole(c: Column) -> Column:
+        return F.forall(F.sequence(c["t"]["at"], c["t"]["at"] + c["t"]["n"] - 1), lambda k: stands(c["t"], c["start"], k))
 
-    def worth(o: Column) -> Column:
-        return sum((F.when(F.get(words, o + p) == w, t["idf"][p]).otherwise(0) for p, w in enumerate(t["words"])), F.lit(0))
+    def scored(c: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(c["t"]["words"]) - 1)
+        worth = F.aggregate(places, F.lit(0), lambda sum_, k: sum_ + F.when(stands(c["t"], c["start"], k), F.get(c["t"]["idf"], k)).otherwise(0))
+        return F.struct(c["t"]["label"].alias("label"), (worth / c["t"]["total"]).alias("score"))
 
-    def begins(place: int) -> Column:
-        return F.transform(f"at_{t['words'][place]}", lambda i: i - place)
+    return F.transform(F.filter(F.transform(agreed, judged), whole), scored)
 
-    offsets = [begins(r) for r in t["rare"]]
-    both = offsets[0] if len(offsets) == 1 else F.array_intersect(*offsets)
-    return F.coalesce(F.array_max(F.transform(_where(both, words, t["at"], t["phrase"]), worth)), F.lit(0))
 
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: list[dict] = INDEX, anchors: tuple[str, ...] | None = ANCHORS) -> DataFrame:
+    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    index: of ``build_index``, for templates of one's own; ``anchors`` are then parts of which each key and base phrase holds one, or None.
+    """
     runtime.prepare(df.sparkSession)
     words = F.col("words")
     step = df.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("low"))
     step = step.select("id", "low", F.filter(F.split("low", BETWEEN, -1), lambda w: w != "").alias("words"))
-    maybe = runtime.any_of([F.contains("low", F.lit(a)) for a in ANCHORS])
+    maybe = F.lit(True) if anchors is None else runtime.any_of([F.contains("low", F.lit(a)) for a in anchors])
     step = step.select("id", F.size("words").cast("long").alias("n_words"), F.when(maybe, words).alias("words"))
     none = F.array().cast("array<int>")
-    # Places of the index's words; all that follows looks at these only.
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(VOCABULARY))
+    # Places of the words that have postings or are of a base phrase; all that follows looks at these only.
+    vocabulary = sorted({t["words"][k] for t in index for k in t["rare"]} | {w for p, _ in BASE for w in p.split()})
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(vocabulary))
     step = step.select("id", "n_words", "words", F.when(F.size("words") > 0, at).otherwise(none).alias("at"))
-    anchors = sorted({t["words"][k] for t in INDEX for k in t["rare"]})
-    places = [_where("at", words, 0, [w]).alias(f"at_{w}") for w in anchors]
     base = [_where("at", words, 0, p.split()).alias(f"base_{label}") for p, label in BASE]
-    step = step.select("id", "n_words", "words", *places, *base)
-    best = [_best(words, t).alias(f"t{k}") for k, t in enumerate(INDEX)]
-    step = step.select("id", "n_words", *[f"base_{label}" for _, label in BASE], *best)
+    found = F.when(F.size("at") > 0, _verified(index)).alias("found")
+    step = step.select("id", "n_words", *base, found)
     starts = F.concat(*[f"base_{label}" for _, label in BASE])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"base_{label}") > 0, F.lit(label)) for _, label in BASE]))
-    labels = F.array_compact(F.array(*[F.when(F.col(f"t{k}") > 0, F.lit(t["label"])) for k, t in enumerate(INDEX)]))
-    score = F.greatest(F.lit(0.0), *[F.col(f"t{k}") / F.lit(float(sum(t["idf"]))) for k, t in enumerate(INDEX)])
+    labels = F.coalesce(F.transform("found", lambda x: x["label"]), F.array().cast("array<string>"))
+    score = F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0))
     return step.select(
         F.col("id").alias(id_col),
         "n_words",

@@ -1,6 +1,7 @@
 """Each operator's query against its contract, on hard rows and on whole driver tables."""
 
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -79,6 +80,24 @@ def test_licenses_query(spark, folder):
     check_licenses(queries.op4_license_scan(spark, folder), docs_of(spark.read.parquet(f"{folder}/documents.parquet")))
 
 
+def test_licenses_own_templates(spark):
+    """Plain search for each template's key phrase, with templates of one word, of repeated words and of shared key phrases."""
+    templates = (("x", "under the ab ab licence", "ab ab"), ("y", "ab ab", "ab ab"), ("z", "solo", "solo"), ("w", "a b c d e", "c d"))
+    texts = [None, "", "ab ab", "ab ab ab solo", "under the AB-ab licence; d c d e", "c d", "a b c x d", "e " * 3000 + "c d e solo " + "ab " * 500]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), index=license_scan.build_index(templates), anchors=None).collect()
+    for row in rows:
+        words = re.findall("[a-z0-9]+", (texts[row["doc_id"]] or "").lower())
+        wanted, best = set(), 0.0
+        for t in license_scan.build_index(templates):
+            for start in range(-len(t["words"]), len(words)):
+                here = [0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(t["words"])]
+                if all(here[t["at"] : t["at"] + len(t["phrase"])]):
+                    wanted.add(t["label"])
+                    best = max(best, sum(n for n, h in zip(t["idf"], here, strict=True) if h) / sum(t["idf"]))
+        assert row["labels"] == ",".join(sorted(wanted)), row
+        assert abs(row["score"] - best) < 1e-12, row
+
+
 def test_licenses_sql(spark, tiny):
     assert oracle.compare(spark, queries.op4_license_scan, license_scan.sql(), tiny)
 
