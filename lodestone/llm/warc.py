@@ -7,10 +7,15 @@ empty skippable frame ends each record, which readers step over.
 
 Archives go through Spark's text writer: a row is the bytes of one frame, and the "line separator" is that
 empty skippable frame. So they reach any file system that Spark writes to, under its commit protocol, and a lost task is
-written again. They are read back as binary files, frame by frame.
+written again. An archive ends after RECORDS records, or ARCHIVE_BYTES if that comes first: empty skippable frames then fill up its
+rows, for Spark's writer counts rows. So an archive, which is read back as one binary file, is never longer than ARCHIVE_BYTES and one
+record. The text writer takes the frames as they are, for Spark's cast from binary to string checks nothing.
 
-Defined results: a null html is an empty payload; rows of one page_id with equal payloads are all responses; a
-null page_id is never referred to, so its record is a response.
+Only payloads that may be in a group are shuffled: a bitmap of the groups' digests (8 MiB at most) sends the others straight to the writer.
+
+Defined results: a null html is an empty payload; rows of one page_id with equal payloads are all responses, under one
+record id; a null page_id is never referred to, so its record is a response; an empty table gives an empty one. A payload must fit
+into a row (2 GB). Other columns play no part.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ DICTIONARY_FRAME = struct.pack("<I", 0x184D2A5D)
 GAP = b"P*M\x18\0\0\0\0"
 FRAME = b"\x28\xb5\x2f\xfd"
 #: Records after which an archive ends; one row more goes to a file, for the dictionary.
-RECORDS = 2000
+RECORDS, ARCHIVE_BYTES = 2000, 64 << 20
+#: A group's row is repeated this many times for the join, so that the rows of a hot payload go to as many tasks.
+SALTS = 16
 #: The dictionary's sample: about this many records of at most SAMPLE_BYTES.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 600, 1 << 16, 1 << 16
 LEVEL = 3
@@ -113,8 +120,14 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     large = base.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     groups = large.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).where("first <> last")
     groups = runtime.cut(groups.select(F.col("digest").alias("g"), F.col("bytes").alias("gb"), "first"))
-    joined = base.join(groups, (F.col("digest") == F.col("g")) & (F.col("bytes") == F.col("gb")), "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    marked, maybe = runtime.marked(base, F.col("digest"), runtime.bitmap(groups, "g"))
+    maybe = maybe & (F.col("bytes") >= least) & F.col("page_id").isNotNull()
+    out = ["page_id", "url", "html", "digest"]
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col("digest") == F.col("g")) & (F.col("bytes") == F.col("gb")) & (F.pmod(F.xxhash64("page_id"), F.lit(SALTS)) == F.col("salt"))
+    joined = marked.where(maybe).select(*out, "bytes").join(salted, same, "left")
+    joined = joined.select(*out, F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    return joined.unionByName(marked.where(~maybe).select(*out, F.lit(None).cast(base.schema["page_id"].dataType).alias("refers_to")))
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
@@ -132,7 +145,7 @@ def train_dictionary(pages: DataFrame) -> bytes:
         return b""
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
+def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of all pages in the folder ``path``."""
     runtime.prepare(pages.sparkSession)
     dictionary = train_dictionary(pages)
@@ -142,14 +155,19 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
         found = shared.value
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(found)) if found else zstandard.ZstdCompressor(level=LEVEL)
         first = DICTIONARY_FRAME + struct.pack("<I", len(found)) + found if found else GAP
-        written = 0
+        written = size = 0
         for batch in batches:
             out = []
             for page_id, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size >= archive_bytes:
+                    out += [b""] * (-written % RECORDS)
+                    written, size = 0, 0
                 if written % RECORDS == 0:
                     out.append(first)
+                    size = len(first)
                 out.append(compressor.compress(record(page_id, url, (html or "").encode(), refers, digest)))
                 written += 1
+                size += len(out[-1]) + len(GAP)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     rows = plan(pages, least).mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
@@ -160,19 +178,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Per record: page_id, url, record_type, refers_to, payload_digest (of the header), payload (null for revisits)."""
     runtime.prepare(spark)
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
                 rows: list[tuple] = []
+                size = 0
                 for data in frames(archive.as_py()):
                     fields, payload = parse(data)
                     revisit = fields["warc-type"] == "revisit"
                     digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
                     page = fields["x-page-id"]
                     rows.append((int(page) if page else None, fields["warc-target-uri"], fields["warc-type"], int(fields["x-refers-to-page-id"]) if revisit else None, digest, None if revisit else payload))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload"])
+                    size += len(payload)
+                    if size >= runtime.ARROW_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield packed(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary")

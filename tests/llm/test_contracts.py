@@ -320,6 +320,24 @@ def test_warc_query(spark, folder):
     assert tables.rows(queries.op10_warc(spark, folder), *RECORD) == ordered(wanted)
 
 
+def test_warc_archives_end_by_bytes(spark, tmp_path):
+    """Long payloads that don't compress: no archive is longer than the bound and a record, and all come back, by a plain reader too."""
+    rng = np.random.default_rng(3)
+    pages = [(k, f"http://x/{k}", rng.bytes(rng.integers(1, 60_000)).hex()) for k in range(120)]
+    pages += [(500 + k, "http://same/", pages[7][2]) for k in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    warc.write(df, str(tmp_path / "w"), archive_bytes=200_000)
+    files = list((tmp_path / "w").glob("part-*"))
+    plain = [warc.parse(r) for f in files for r in warc.frames(f.read_bytes())]
+    assert len(files) > 10 and max(f.stat().st_size for f in files) < 200_000 + 130_000 + 8 * warc.RECORDS
+    assert sorted(int(h["x-page-id"]) for h, _ in plain) == sorted(p[0] for p in pages)
+    found = {r["page_id"]: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    for page_id, _, html in pages:
+        same = html == pages[7][2]
+        assert found[page_id]["refers_to"] == (539 if same and page_id != 539 else None)
+        assert found[page_id]["payload"] == (None if same and page_id != 539 else html.encode())
+
+
 def test_warc_sql(spark, tiny):
     assert oracle.compare(spark, queries.op10_warc, warc.SQL, tiny)
 
