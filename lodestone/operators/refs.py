@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..plans.model import CodeModel
 from .locate import FindQuery, locate
 
@@ -61,6 +62,38 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.select(*[c.alias(n) for n, c in got.items()], F.nullif(F.regexp_extract("line", pattern, 5), F.lit("")).cast("long").alias("occurrence"))
 
 
+def render_occurrences(rows: DataFrame) -> DataFrame:
+    """Occurrences as result lines, with descriptors and numbers."""
+    method = F.concat("class_name", F.lit("->"), "method_name", "method_descriptor")
+    return rows.select(F.concat("dex_name", F.lit(" | "), method, F.lit(" | matched=("), "matched", F.lit(") | occurrence="), F.col("occurrence").cast("string")).alias("line"))
+
+
+def parse_whole(lines: DataFrame, kind: str = "") -> DataFrame:
+    """Result lines of one kind as rows with all their parts. What matched may hold `` | `` itself; a line without a number is occurrence 0."""
+    part = lambda n: F.regexp_extract("line", r"(?s)^(.*?) \| (.*?) \| (.*?)(?: \| occurrence=([0-9]+))?$", n)
+    step = lines.select("line", part(1).alias("dex_name"), part(2).alias("method_text"), part(3).alias("matched_text"), F.coalesce(F.nullif(part(4), F.lit("")).cast("long"), F.lit(0)).alias("occurrence"))
+    of_method = lambda n: F.regexp_extract("method_text", r"(?s)^(.*?)->([^(]*)(.*)$", n)
+    value = F.regexp_replace("matched_text", r"(?s)^matched=\((.*).$", "$1")
+    step = step.withColumns({"class_name": of_method(1), "method_name": of_method(2), "method_descriptor": of_method(3), "value": value})
+    target = lambda n: F.regexp_extract("value", r"(?s)^(.*?)->([^(]*)(.*)$" if kind == "method" else r"(?s)^(.*?)->(.*?)(?::([^:]*))?$", n)
+    member, none = kind in ("method", "field"), F.lit("")
+    return step.select(
+        "dex_name",
+        "class_name",
+        names.dotted(F.col("class_name")).alias("class_display"),
+        "method_text",
+        "method_name",
+        "method_descriptor",
+        "matched_text",
+        F.lit("class" if kind == "type" else kind).alias("target_type"),
+        (target(1) if member else F.col("value") if kind == "type" else none).alias("target_class"),
+        (target(2) if member else F.col("value")).alias("target_name"),
+        (target(3) if member else none).alias("target_descriptor"),
+        "occurrence",
+        "line",
+    )
+
+
 def filter_rows(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Rows of which any column holds the text, whatever its case."""
     return rows.where(reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(text.lower())) for c in columns]))

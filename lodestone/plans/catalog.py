@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import graph, locate, refs
+from ..operators import finders, graph, locate, refs
 from ..operators.locate import FindQuery
 from ..session import ship
 from .model import PRELUDE, PRELUDE_WHOLE, CodeModel, from_tables, read_table
@@ -453,3 +453,83 @@ def occurrence_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     first = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return rows.select("event_id", "user_id", "event_type", (F.row_number().over(each) - 1).cast("long").alias("occurrence"), (F.row_number().over(first) == 1).alias("first_seen"))
+
+
+# -- finders ----------------------------------------------------------------------------------------
+
+_MEMBERS = f""", own AS (
+  SELECT x.class_name, x.name, x.descriptor, min(m.access_flags) AS access_flags FROM class_members m JOIN methods x ON x.dex_id = m.dex_id AND x.method_idx = m.member_idx GROUP BY ALL
+), every AS (
+  SELECT n.*, CASE WHEN access_flags IS NULL THEN '' ELSE trim({_FLAGS}) END AS flags, access_flags IS NULL AS is_external
+  FROM (SELECT DISTINCT class_name, name, descriptor FROM methods) n LEFT JOIN own ON own.class_name = n.class_name AND own.name = n.name AND own.descriptor = n.descriptor
+)"""
+
+
+@model_query("""
+, named AS (SELECT DISTINCT descriptor AS class_name FROM types WHERE regexp_matches(descriptor, '^Lf[a-m].*_1[0-3]/'))
+SELECT class_name, class_name NOT IN (SELECT class_name FROM class_defs) AS is_external FROM named
+""")
+def find_classes_regex(m: CodeModel) -> DataFrame:
+    return finders.find_classes(m, "Lf[a-m].*_1[0-3]/")
+
+
+@model_query(_MEMBERS + "SELECT class_name, name, descriptor, flags, is_external FROM every WHERE regexp_matches(class_name, '^Lm.*_[12]/') AND regexp_matches(name, '^[1-3]-') AND regexp_matches(flags, '^public.*static')")
+def find_methods_regex(m: CodeModel) -> DataFrame:
+    return finders.find_methods(m, "Lm.*_[12]/", "[1-3]-", flags="public.*static", no_external=True)
+
+
+@model_query("SELECT DISTINCT class_name, name, descriptor, '' AS flags, true AS is_external FROM fields WHERE regexp_matches(name, '^(red|new) [a-r]')")
+def find_fields_regex(m: CodeModel) -> DataFrame:
+    return finders.find_fields(m, name="(red|new) [a-r]")
+
+
+@model_query("SELECT DISTINCT value FROM strings WHERE dex_id = 2 AND regexp_matches(value, '^(hot|cold) ')")
+def find_strings_regex(m: CodeModel) -> DataFrame:
+    return finders.find_strings(m, "(hot|cold) ", 2)
+
+
+@model_query(_MEMBERS + "SELECT class_name, name, descriptor FROM every WHERE is_external")
+def external_methods(m: CodeModel) -> DataFrame:
+    return finders.external_methods(m)
+
+
+@model_query("SELECT home AS dex_id, min(o_orderkey // 2 + 1) AS \"begin\", max(o_orderkey // 2 + 1) AS \"end\" FROM orders JOIN classes ON class_type_idx = o_custkey GROUP BY home")
+def code_regions(m: CodeModel) -> DataFrame:
+    return finders.code_regions(m)
+
+
+@model_query(_CALLS + "SELECT DISTINCT to_class, to_name, to_descriptor, is_external FROM calls WHERE starts_with(from_class, 'Lfurniture/') AND from_name = '1-URGENT'", cut=False)
+def callees_of_package(m: CodeModel) -> DataFrame:
+    edges = graph.call_edges(m).where("startswith(from_class, 'Lfurniture/')")
+    return finders.xrefs(edges, {"from_name": "1-URGENT"}, ["to_class", "to_name", "to_descriptor", "is_external"], False)
+
+
+@model_query("SELECT DISTINCT o.class_name, o.method_name FROM refs r JOIN strings s ON s.dex_id = r.dex_id AND s.string_idx = r.ref_idx JOIN owners o ON o.dex_id = r.dex_id AND o.code_off = r.code_off WHERE r.ref_kind = 'string' AND s.value = 'old rod'", cut=False)
+def string_users(m: CodeModel) -> DataFrame:
+    return finders.string_users(m, "old rod")
+
+
+@model_query("""
+, ids AS (SELECT DISTINCT dex_id, ref_kind, ref_idx * 2 AS ref_idx FROM refs WHERE ref_kind IN ('string', 'type'))
+SELECT i.*, coalesce(s.value, t.descriptor, CASE ref_kind WHEN 'string' THEN 'AG:IS: invalid string' ELSE 'AG:ITI: invalid type' END) AS text FROM ids i
+LEFT JOIN strings s ON ref_kind = 'string' AND s.dex_id = i.dex_id AND s.string_idx = i.ref_idx LEFT JOIN types t ON ref_kind = 'type' AND t.dex_id = i.dex_id AND t.type_idx = i.ref_idx
+""", cut=False)
+def texts_of_ids(m: CodeModel) -> DataFrame:
+    ids = m.refs.where("ref_kind IN ('string', 'type')").select("dex_id", "ref_kind", (F.col("ref_idx") * 2).alias("ref_idx")).distinct()
+    return finders.texts(m, ids)
+
+
+@model_query("""
+, hit AS (
+  SELECT d.dex_name, o.class_name, o.method_name, o.method_descriptor, f.class_name AS target_class, f.name AS target_name, f.descriptor AS target_descriptor,
+         row_number() OVER (PARTITION BY r.dex_id, o.method_idx, r.ref_idx ORDER BY r.insn_off) - 1 AS occurrence
+  FROM refs r JOIN fields f ON f.dex_id = r.dex_id AND f.field_idx = r.ref_idx JOIN owners o ON o.dex_id = r.dex_id AND o.code_off = r.code_off JOIN dex d ON d.dex_id = r.dex_id
+  WHERE r.ref_kind = 'field' AND contains(f.name, 'widget')
+), said AS (
+  SELECT *, class_name || '->' || method_name || method_descriptor AS method_text, 'matched=(' || target_class || '->' || target_name || ':' || target_descriptor || ')' AS matched_text FROM hit
+)
+SELECT dex_name, class_name, replace(substr(class_name, 2, length(class_name) - 2), '/', '.') AS class_display, method_text, method_name, method_descriptor, matched_text, 'field' AS target_type,
+       target_class, target_name, target_descriptor, occurrence, dex_name || ' | ' || method_text || ' | ' || matched_text || ' | occurrence=' || occurrence AS line FROM said
+""", cut=False)
+def result_lines_parsed(m: CodeModel) -> DataFrame:
+    return refs.parse_whole(refs.render_occurrences(refs.occurrences(m, FindQuery("field", "widget"))), "field")
