@@ -200,7 +200,14 @@ def model(spark: SparkSession, path: str | list[str]) -> CodeModel:
 
 def ingest(spark: SparkSession, path: str | list[str], out: str, extra: tuple[str, ...] = (), permissive: bool = False) -> CodeModel:
     """Decode each archive once into Parquet, all tables of the model and those of ``extra`` and ``errors``, and go on from there."""
-    ship(spark)
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    decoded(found, extra, permissive).write.mode("overwrite").partitionBy("table").parquet(out)
+    return load(spark, out)
+
+
+def decoded(archives: DataFrame, extra: tuple[str, ...] = (), permissive: bool = False) -> DataFrame:
+    """Rows of all tables of ``archives`` (path, content) in one frame: the column ``table``, and every table's columns, null in the others' rows."""
+    ship(archives.sparkSession)
     tables = [f.name for f in fields(CodeModel)] + list(extra)
     wide = {}
     for ddl in (*(SCHEMAS[t] for t in tables), ERRORS):
@@ -227,9 +234,7 @@ def ingest(spark: SparkSession, path: str | list[str], out: str, extra: tuple[st
                 if rows:
                     yield batch(now, rows)
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)
-    found.write.mode("overwrite").partitionBy("table").parquet(out)
-    return load(spark, out)
+    return archives.select("path", "content").mapInArrow(run, ddl)
 
 
 def _ddl(ddl: str) -> list[tuple[str, str]]:
@@ -265,3 +270,21 @@ def disassemble(spark: SparkSession, path: str | list[str], wanted: str | None =
                                 yield _batch([(f"{where}!{entry_ord}!{logical_ord}", cls, method, k, x) for k, x in enumerate(lines)], schema)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)
+
+
+def disassemble_range(spark: SparkSession, path: str | list[str], offset: int, size: int) -> DataFrame:
+    """(dex_id, line_ord, line): the instructions of a byte range of each DEX."""
+    ship(spark)
+    ddl = "dex_id string, line_ord int, line string"
+    schema = _schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for entry_ord, entry, raw in dex_entries(data.as_py()):
+                    for logical_ord, _, dex in codec.logical(raw, entry):
+                        rows = [(f"{where}!{entry_ord}!{logical_ord}", k, x) for k, x in enumerate(smali.span(dex, offset, size))]
+                        if rows:
+                            yield _batch(rows, schema)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)
