@@ -33,6 +33,10 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("class_name")
     sub.add_argument("--method", help="name(parameters)result")
     sub.add_argument("--debuginfo", action="store_true")
+    sub = commands.add_parser("extractclass", help="a class as a DEX of its own, from the first DEX that defines it")
+    sub.add_argument("archives")
+    sub.add_argument("class_name")
+    sub.add_argument("-o", "--output", required=True)
     sub = command("findrefs", "methods that refer to something, or classes that extend or implement one")
     sub.add_argument("kind", choices=[*KINDS, "extends", "impl"])
     sub.add_argument("value", nargs="?")
@@ -71,10 +75,23 @@ def found(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, Dat
     return rows, refs.render(rows.orderBy("dex_name", "method_idx")).select("line")
 
 
+def extract(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The class's DEX as a file of the driver."""
+    wanted = spark.range(1).select(names.class_descriptor(F.lit(args.class_name))).first()[0]
+    row = apk.extract(spark, args.archives, wanted).orderBy("dex_id").first()
+    if row is None:
+        raise ValueError(f"no class {wanted}")
+    with open(args.output, "wb") as out:
+        out.write(row["dex"])
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.getActiveSession() or session.local(args.cores)
     try:
+        if args.command == "extractclass":
+            extract(spark, args)
+            return 0
         rows, lines = found(spark, args)
         if args.json:
             sinks.to_json(rows, args.json)

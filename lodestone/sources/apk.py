@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.model import CodeModel
 from ..session import ship
-from . import bytecode, codec, flow, smali
+from . import bytecode, codec, flow, rebuild, smali
 
 _KEY = "dex_id string, "
 SCHEMAS = {
@@ -288,3 +288,21 @@ def disassemble_range(spark: SparkSession, path: str | list[str], offset: int, s
                             yield _batch(rows, schema)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)
+
+
+def extract(spark: SparkSession, path: str | list[str], wanted: str) -> DataFrame:
+    """(dex_id, class_name, dex): a class (descriptor) as the bytes of a DEX of its own, from each DEX that defines it."""
+    ship(spark)
+    ddl = "dex_id string, class_name string, dex binary"
+    schema = _schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for entry_ord, entry, raw in dex_entries(data.as_py()):
+                    for logical_ord, _, dex in codec.logical(raw, entry):
+                        made = rebuild.class_dex(dex, wanted)
+                        if made:
+                            yield _batch([(f"{where}!{entry_ord}!{logical_ord}", wanted, made)], schema)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)

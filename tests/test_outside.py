@@ -37,6 +37,9 @@ def test_commands(spark, folder, capsys, tmp_path):
     assert said(spark, capsys, "findrefs", a, "method", "call", "--class", "Target", "--fuzzy-class", "--occurrences") == [occurrence]
     assert said(spark, capsys, "findrefs", a, "impl", "example.Target") == ["classes2.dex | Lexample/Test; implements Lexample/Target;"]
     assert any("const-string" in x for x in said(spark, capsys, "disassemble", a, "example.Test", "--method", "first()V"))
+    assert said(spark, capsys, "extractclass", a, "example.Test", "-o", str(tmp_path / "c.dex")) == []
+    assert said(spark, capsys, "listclass", str(tmp_path / "c.dex")) == ["Lexample/Test;"]
+    assert cli.main(["extractclass", a, "no.Such", "-o", str(tmp_path / "d.dex")], spark) == 1 and "no class" in capsys.readouterr().err
     assert cli.main(["findrefs", a, "method"], spark) == 1 and "Error" in capsys.readouterr().err
 
 
