@@ -24,7 +24,7 @@ def hits(model: CodeModel, q: FindQuery) -> DataFrame:
 
 def owned(model: CodeModel, q: FindQuery) -> DataFrame:
     """Hits of all methods that own them; a shared body has several owners."""
-    return hits(model, q).join(model.owners, ["dex_id", "code_off"])
+    return model.owned(hits(model, q))
 
 
 def occurrences(model: CodeModel, q: FindQuery) -> DataFrame:

@@ -17,6 +17,8 @@ from .model import PRELUDE, PRELUDE_WHOLE, CodeModel, from_tables, read_table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The queries that take a code model, by name, for models that are there already.
+OF_MODELS: dict[str, Callable[[CodeModel], DataFrame]] = {}
 FLAGSHIP = "refs_string_agg"
 CLASS = "Lfurniture/nation_17/Customer_000000042;"
 
@@ -35,6 +37,7 @@ def model_query(sql: str, cut: bool = True) -> Callable:
 
             return run
 
+        OF_MODELS[f.__name__] = f
         if cut:
             QUERIES[f.__name__], SQL[f.__name__] = over(False), PRELUDE + sql
         if re.search(r"\brefs\b", sql):

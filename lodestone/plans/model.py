@@ -44,12 +44,22 @@ class CodeModel:
         for f in fields(self):
             getattr(self, f.name).createOrReplaceTempView(f"{prefix}{f.name}")
 
+    @property
+    def _bodies(self) -> DataFrame:
+        return self.class_members.where("kind IN ('direct_method', 'virtual_method') AND code_off <> 0").select("dex_id", "code_off", F.col("member_idx").alias("method_idx"))
+
+    @property
+    def _named(self) -> DataFrame:
+        return self.methods.select("dex_id", "method_idx", "class_name", F.col("name").alias("method_name"), F.col("descriptor").alias("method_descriptor"))
+
     @cached_property
     def owners(self) -> DataFrame:
         """Bodies and the methods that share them: dex_id, code_off, method_idx, class_name, method_name, method_descriptor."""
-        bodies = self.class_members.where("kind IN ('direct_method', 'virtual_method') AND code_off <> 0").select("dex_id", "code_off", F.col("member_idx").alias("method_idx")).distinct()
-        named = self.methods.select("dex_id", "method_idx", "class_name", F.col("name").alias("method_name"), F.col("descriptor").alias("method_descriptor"))
-        return bodies.join(named, ["dex_id", "method_idx"])
+        return self._bodies.distinct().join(self._named, ["dex_id", "method_idx"])
+
+    def owned(self, hits: DataFrame) -> DataFrame:
+        """Distinct ``hits`` (dex_id, code_off, ...) with their owners. Only bodies that are hit get names, so that few hits make small joins."""
+        return hits.join(self._bodies, ["dex_id", "code_off"]).distinct().join(self._named, ["dex_id", "method_idx"])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
