@@ -469,11 +469,11 @@ _MEMBERS = f""", own AS (
 
 
 @model_query("""
-, named AS (SELECT DISTINCT descriptor AS class_name FROM types WHERE regexp_matches(descriptor, '^Lf[a-m].*_1[0-3]/'))
+, named AS (SELECT DISTINCT descriptor AS class_name FROM types WHERE regexp_matches(descriptor, '^Lf[r-z].*_1[0-3]/'))
 SELECT class_name, class_name NOT IN (SELECT class_name FROM class_defs) AS is_external FROM named
 """)
 def find_classes_regex(m: CodeModel) -> DataFrame:
-    return finders.find_classes(m, "Lf[a-m].*_1[0-3]/")
+    return finders.find_classes(m, "Lf[r-z].*_1[0-3]/")
 
 
 @model_query(_MEMBERS + "SELECT class_name, name, descriptor, flags, is_external FROM every WHERE regexp_matches(class_name, '^Lm.*_[12]/') AND regexp_matches(name, '^[1-3]-') AND regexp_matches(flags, '^public.*static')")
