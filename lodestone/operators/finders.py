@@ -84,7 +84,7 @@ def callees(model: CodeModel, class_name: str, name: str | None = None, descript
 
 def string_users(model: CodeModel, value: str) -> DataFrame:
     """Methods that use one string, whatever its DEX."""
-    return graph.string_edges(model).where(F.col("value") == value).select("class_name", "method_name").distinct()
+    return graph.string_edges(model, value).select("class_name", "method_name").distinct()
 
 
 def field_users(model: CodeModel, class_name: str, name: str, access: str | None = None, places: bool = False) -> DataFrame:
