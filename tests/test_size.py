@@ -17,6 +17,7 @@ def plan(df):
 def test_whole_dictionaries_are_merged(spark, tiny):
     m = model.from_tables(spark, tiny, True)
     assert re.search(r"SortMergeJoin \[dex_id#\d+, string_idx#\d+L\]", plan(graph.string_edges(m)))
+    assert re.search(r"SortMergeJoin \[dex_id#\d+, type_idx#\d+L\]", plan(graph.type_edges(m)))
 
 
 @pytest.fixture
@@ -24,7 +25,7 @@ def small_pieces(monkeypatch):
     monkeypatch.setattr(session, "PIECE", 4096)
 
 
-@pytest.mark.parametrize("name", ["string_edges_distinct_whole"])
+@pytest.mark.parametrize("name", ["string_edges_distinct_whole", "type_edges_whole"])
 def test_large_joins_go_in_pieces(spark, tiny, small_pieces, name):
     n = session.pieces(model.read_table(spark, tiny, "lineitem"))
     assert n > 8
