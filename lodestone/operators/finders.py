@@ -104,7 +104,7 @@ def texts(model: CodeModel, ids: DataFrame) -> DataFrame:
     strings = model.strings.select("dex_id", F.lit("string").alias("ref_kind"), F.col("string_idx").alias("ref_idx"), F.col("value").alias("text"))
     types = model.types.select("dex_id", F.lit("type").alias("ref_kind"), F.col("type_idx").alias("ref_idx"), F.col("descriptor").alias("text"))
     missing = F.when(F.col("ref_kind") == "string", NO_STRING).when(F.col("ref_kind") == "type", NO_TYPE)
-    return ids.join(strings.union(types), ["dex_id", "ref_kind", "ref_idx"], "left").withColumn("text", F.coalesce("text", missing))
+    return ids.join(strings.union(types).hint("merge"), ["dex_id", "ref_kind", "ref_idx"], "left").withColumn("text", F.coalesce("text", missing))
 
 
 def outer_classes(model: CodeModel) -> DataFrame:

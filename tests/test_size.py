@@ -4,7 +4,7 @@ import re
 
 import pytest
 from lodestone import session
-from lodestone.operators import graph
+from lodestone.operators import finders, graph
 from lodestone.plans import catalog, model
 
 from tests import oracle
@@ -18,6 +18,8 @@ def test_whole_dictionaries_are_merged(spark, tiny):
     m = model.from_tables(spark, tiny, True)
     assert re.search(r"SortMergeJoin \[dex_id#\d+, string_idx#\d+L\]", plan(graph.string_edges(m)))
     assert re.search(r"SortMergeJoin \[dex_id#\d+, type_idx#\d+L\]", plan(graph.type_edges(m)))
+    ids = spark.createDataFrame([(0, "string", 1)], "dex_id int, ref_kind string, ref_idx long")
+    assert re.search(r"SortMergeJoin \[dex_id#\d+, ref_kind#\d+, ref_idx#\d+L\]", plan(finders.texts(m, ids)))
 
 
 @pytest.fixture
@@ -25,12 +27,12 @@ def small_pieces(monkeypatch):
     monkeypatch.setattr(session, "PIECE", 4096)
 
 
-@pytest.mark.parametrize("name", ["string_edges_distinct_whole", "type_edges_whole"])
+@pytest.mark.parametrize("name", ["string_edges_distinct", "string_edges_distinct_whole", "type_edges_whole", "texts_of_ids_whole"])
 def test_large_joins_go_in_pieces(spark, tiny, small_pieces, name):
     n = session.pieces(model.read_table(spark, tiny, "lineitem"))
     assert n > 8
     told = plan(catalog.QUERIES[name](spark, tiny))
-    keys = ["dex_id#\\d+, code_off"]
+    keys = ["l_orderkey"] if name.startswith("texts") else ["l_orderkey", "dex_id#\\d+, code_off"]
     for key in keys:  # both sides of the join (of two, where refs are a union), and no other exchange by its keys
         assert len(re.findall(rf"hashpartitioning\({key}#\d+L, {n}\), REPARTITION_BY_NUM", told)) in (2, 4)
         assert not re.search(rf"hashpartitioning\({key}#\d+L, \d+\), ENSURE", told)
